@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 
 def top_n(
@@ -24,7 +25,7 @@ def top_n(
     return best.withColumn("_rank", F.row_number().over(for_group)).filter(F.col("_rank") <= n).drop("_rank")
 
 
-def numbered(df: DataFrame, keys: Sequence[str], start: Column, name: str = "id") -> DataFrame:
+def numbered(df: DataFrame, keys: Sequence[str], start: Column, kind: DataType, name: str = "id") -> DataFrame:
     """Give rows that are unique by ``keys`` the numbers ``start + 1, start + 2, ...`` in the order of the keys' hash.
 
     Rows are counted per hash prefix (at most 4096 of them), the counts are summed up, and each row is ranked within
@@ -38,7 +39,7 @@ def numbered(df: DataFrame, keys: Sequence[str], start: Column, name: str = "id"
     rank = F.row_number().over(Window.partitionBy("_prefix").orderBy("_digest"))
     return (
         hashed.join(offsets, "_prefix")
-        .withColumn(name, (start + F.col("_before") + rank).cast("int"))
+        .withColumn(name, (start + F.col("_before") + rank).cast(kind))
         .drop("_digest", "_prefix", "_before")
     )
 

@@ -51,7 +51,7 @@ def upsert_rules(rules: DataFrame, requests: DataFrame) -> DataFrame:
         "f_path", F.when(F.col("paths").isNull(), F.col("f_path")).otherwise(F.array_union("f_path", "paths"))
     )
     start = rules.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
-    new = numbered(asked.join(rules.select(*_TRIPLE), _TRIPLE, "left_anti"), _TRIPLE, start).select(
+    new = numbered(asked.join(rules.select(*_TRIPLE), _TRIPLE, "left_anti"), _TRIPLE, start, rules.schema["id"].dataType).select(
         "id", *_TRIPLE, F.col("paths").alias("f_path"), F.col("asked_begins").alias("is_begins"),
         F.col("asked_description").alias("description"),
     )

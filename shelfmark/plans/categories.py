@@ -14,7 +14,7 @@ from shelfmark.functions.ordering import ascending, descending
 from shelfmark.functions.paths import in_saved_page
 
 _CONTENT = ["sha256", "f_name"]
-_COUNT = F.count(F.lit(1)).alias
+
 
 
 def _filled(cards: DataFrame) -> DataFrame:
@@ -35,7 +35,7 @@ def big_uncategorised_dirs(
         (F.col("device_uid") == device) & F.col("sha256").isNotNull()
         & ~in_saved_page(parent) & ~parent.endswith("_files/")
     )
-    groups = mine.groupBy(*_CONTENT, "f_parent").agg(_COUNT("n"))
+    groups = mine.groupBy(*_CONTENT, "f_parent").agg(F.count(F.lit(1)).alias("n"))
     return (
         _uncategorised(groups, categories).groupBy("f_parent").agg(F.sum("n").alias("files"))
         .filter(F.col("files") > max_files).orderBy("f_parent")
@@ -44,7 +44,7 @@ def big_uncategorised_dirs(
 
 def count_by_category_type(cards: DataFrame, categories: DataFrame, rules: DataFrame) -> DataFrame:
     """Non-empty files per category type; the NULL type stands for files without one."""
-    groups = _filled(cards).groupBy(*_CONTENT).agg(_COUNT("n"))
+    groups = _filled(cards).groupBy(*_CONTENT).agg(F.count(F.lit(1)).alias("n"))
     typed = groups.join(categories, _CONTENT, "left").join(rules.select("id", "category_type"), "id", "left")
     return (
         typed.groupBy("category_type").agg(F.sum("n").alias("files"))
@@ -54,7 +54,7 @@ def count_by_category_type(cards: DataFrame, categories: DataFrame, rules: DataF
 
 def _files_per(cards: DataFrame, categories: DataFrame, rules: DataFrame, wanted: Column, level: str) -> DataFrame:
     chosen = categories.join(rules.filter(wanted).select("id", level), "id").select(*_CONTENT, level)
-    groups = _filled(cards).filter("sha256 IS NOT NULL").groupBy(*_CONTENT).agg(_COUNT("n"))
+    groups = _filled(cards).filter("sha256 IS NOT NULL").groupBy(*_CONTENT).agg(F.count(F.lit(1)).alias("n"))
     return (
         groups.join(chosen, _CONTENT).groupBy(level).agg(F.sum("n").alias("files"))
         .orderBy(F.desc("files"), ascending(level))
@@ -107,7 +107,7 @@ def uncategorised_dirs_by_extension(
     open_files = _filled(cards).filter(~in_saved_page(F.col("f_parent")))
     if extension:
         open_files = open_files.filter(F.lower(F.coalesce("f_extension", F.lit(""))) == extension.lower())
-    groups = open_files.groupBy(*_CONTENT, "f_parent").agg(_COUNT("n"))
+    groups = open_files.groupBy(*_CONTENT, "f_parent").agg(F.count(F.lit(1)).alias("n"))
     return (
         _uncategorised(groups, categories).groupBy("f_parent").agg(F.sum("n").alias("files"))
         .orderBy(F.desc("files"), "f_parent").limit(rows)
@@ -144,7 +144,7 @@ def paths_of_category(
     contents = categories.join(rules.filter(wanted).select("id"), "id", "left_semi").select(*_CONTENT)
     once = cards.filter("sha256 IS NOT NULL").select(*_CONTENT, "f_parent").distinct()
     folders = once.join(contents, _CONTENT, "left_semi").select("f_parent").distinct()
-    per_device = cards.groupBy("f_parent", "device_uid").agg(_COUNT("n"))
+    per_device = cards.groupBy("f_parent", "device_uid").agg(F.count(F.lit(1)).alias("n"))
     totals = per_device.join(folders, "f_parent", "left_semi").groupBy("f_parent").agg(
         F.array_join(F.array_sort(F.collect_list("device_uid")), ", ").alias("devices"), F.sum("n").alias("files")
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions.paths import segment
@@ -16,7 +16,7 @@ DENIED_ICON = "images/jstree/stop.png"
 BELOW_ICON = "images/jstree/arrow_right.png"
 
 
-def _types_or_null(sets) -> F.Column:
+def _types_or_null(sets: Column) -> Column:
     types = F.array_sort(sets)
     return F.when(F.size(types) > 0, types)
 
