@@ -64,21 +64,22 @@ def to_json_rows(df: DataFrame, name: str = "json") -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias(name))
 
 
-def write_snapshot(df: DataFrame, path: str, by: str | None = None, sort: Sequence[str] = ()) -> None:
-    """Write a new snapshot.
+def write_snapshot(df: DataFrame, path: str, sort: Sequence[str] = ()) -> None:
+    """Write a new snapshot, its rows cut into ranges of the sort columns and sorted within each file.
 
-    With ``by`` the folders follow that column.  Rows are cut into ranges of (by, sort), so a device that holds a
-    large part of all rows still becomes many files, and a folder's rows lie together for pruning.
+    A value that a large part of all rows shares, say a device, still becomes many files when a later sort column
+    tells its rows apart.
     """
-    order = [*([by] if by else []), *sort]
-    laid_out = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
-    writer = laid_out.write.mode("errorifexists")
-    (writer.partitionBy(by) if by else writer).parquet(path)
+    laid_out = df.repartitionByRange(*sort).sortWithinPartitions(*sort) if sort else df
+    laid_out.write.mode("errorifexists").parquet(path)
 
 
 def write_file_cards(cards: DataFrame, path: str) -> None:
-    """File cards by device, sorted by folder: a report on one device or folder reads only its own row groups."""
-    write_snapshot(cards, path, by="device_uid", sort=["f_parent", "id"])
+    """File cards sorted by device and folder: a report on one of them skips the row groups of all others.
+
+    Devices are not made folders of the file system, since there may be very many small ones.
+    """
+    write_snapshot(cards, path, ["device_uid", "f_parent", "id"])
 
 
 def write_script(lines: DataFrame, path: str) -> None:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
+from shelfmark.session import shared_dir
+
 
 def top_n(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, spread: str, slices: int = 64
@@ -44,6 +46,34 @@ def numbered(df: DataFrame, keys: Sequence[str], start: Column, kind: DataType,
     )
 
 
+def repeated(df: DataFrame, times: str, piece: int = 1_000_000) -> DataFrame:
+    """Each row as often as its column ``times`` says; a large number is spread over many tasks."""
+    pieces = F.sequence(F.lit(0), F.ceil(F.col(times) / piece) - 1)
+    cut = df.filter(F.col(times) > 0).withColumn("_piece", F.explode(pieces)).repartition(*df.columns, "_piece")
+    size = F.least(F.lit(piece), F.col(times) - F.col("_piece") * piece)
+    return cut.select(*[c for c in df.columns if c != times], F.explode(F.sequence(F.lit(1), size)).alias("_n")).drop("_n")
+
+
+def page(df: DataFrame, order: Sequence[Column], start: int, length: int, in_one_task: int = 100_000) -> DataFrame:
+    """Rows ``start`` to ``start + length`` in a total order.
+
+    Near the front these come from a top-k.  Farther on, that would bring all earlier rows to one task; the sorted
+    rows are then written to the shared folder once, counted per partition, and only the page is picked.
+    """
+    if start + length <= in_one_task:
+        return df.orderBy(*order).offset(start).limit(length)
+    place = F.monotonically_increasing_id()
+    path = shared_dir(df.sparkSession, "page")
+    df.orderBy(*order).withColumn("_place", place).write.parquet(path)
+    split = F.shiftrightunsigned("_place", 33)
+    ranked = df.sparkSession.read.parquet(path).withColumn("_part", split)
+    counts = ranked.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    running = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(running), F.lit(0)).alias("_before"))
+    rank = F.col("_before") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    return ranked.join(offsets, "_part").filter((rank >= start) & (rank < start + length)).select(*df.columns)
+
+
 def joined_text(
     df: DataFrame, keys: Sequence[str], value: str, name: str, sep: str = ", ", per_row: int = 100_000
 ) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from shelfmark import settings
 from shelfmark.functions.paths import in_saved_page
-from shelfmark.operators.groups import joined_text
+from shelfmark.operators.groups import joined_text, repeated
 
 
 def _without_backup(cards: DataFrame, device: str, volumes: Sequence[str]) -> DataFrame:
@@ -137,11 +137,9 @@ def names_not_catalogued(
     listed = photos.groupBy("f_name").agg(F.count(F.lit(1)).alias("listed"))
     known = cards.groupBy("f_name").agg(F.count(F.lit(1)).alias("known"))
     missing = F.col("listed") - F.coalesce("known", F.lit(0))
-    left = listed.join(known, "f_name", "left").select("f_name", missing.alias("n")).filter("n > 0")
+    left = listed.join(known, "f_name", "left").select("f_name", missing.alias("n"))
     command = F.concat(F.lit(f"adb pull {copy_from}"), "f_name", F.lit(f" {copy_to}"), "f_name")
-    return left.select(
-        F.explode(F.sequence(F.lit(1), F.col("n"))).alias("nth"), "f_name", command.alias("command")
-    ).select("f_name", "command")
+    return repeated(left, "n").select("f_name", command.alias("command"))
 
 
 def duplicate_content_overview(cards: DataFrame, per_row: int = 100_000) -> DataFrame:

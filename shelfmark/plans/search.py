@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions.ordering import ascending, descending
 from shelfmark.functions.text import contains_pattern
+from shelfmark.operators.groups import page
 from shelfmark.settings import SEARCH_ROWS
 
 _KEYS = ["f_name_lc", "f_name", "f_parent", "sha256", "label_v"]
@@ -32,7 +33,7 @@ def search_page(
     files = cards.select("f_name_lc", "f_name", "f_parent", "sha256", "device_uid")
     rows = files.join(labels, "device_uid", "left").select(*_KEYS).distinct()
     matching = rows.filter(F.col("f_name_lc").like(contains_pattern(search)))
-    page = matching.orderBy(*map(ascending, _KEYS)).offset(start).limit(length)
+    cut = page(matching, [ascending(key) for key in _KEYS], start, length)
 
     chosen = _COLUMNS.get(column, "f_name") if direction in ("asc", "desc") else "f_name"
     order = descending(chosen) if direction == "desc" and column in _COLUMNS else ascending(chosen)
@@ -47,7 +48,7 @@ def search_page(
     )
     none = F.lit(None)
     parts = (
-        page.select(entry.alias("e"), none.cast("bigint").alias("total"), none.cast("bigint").alias("filtered"))
+        cut.select(entry.alias("e"), none.cast("bigint").alias("total"), none.cast("bigint").alias("filtered"))
         .unionByName(rows.agg(F.count(F.lit(1)).alias("total")), allowMissingColumns=True)
         .unionByName(matching.agg(F.count(F.lit(1)).alias("filtered")), allowMissingColumns=True)
     )

@@ -160,4 +160,7 @@ def with_tables(select: str) -> str:
 
     need(select)
     definitions = ",\n".join(f"{name} AS ({body})" for name, body in TABLES.items() if name in needed)
-    return f"WITH {definitions}\n{select.strip()}" if needed else select.strip()
+    own = select.strip()
+    if not needed:
+        return own
+    return f"WITH {definitions},\n{own[5:]}" if own.startswith("WITH ") else f"WITH {definitions}\n{own}"

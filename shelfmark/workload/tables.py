@@ -164,8 +164,8 @@ class Catalogue:
         )
         one_day = F.expr("INTERVAL 1 DAY")
         when = F.col("f_last_modified_date")
-        found = files.select(
-            "device_uid", F.concat("f_parent", F.explode(names).alias("name")).alias("path"),
+        found = files.select("*", F.explode(names).alias("name")).select(
+            "device_uid", F.concat("f_parent", "name").alias("path"),
             F.when(changed, F.col("f_size") + 1).when(resized, F.col("f_size") + 7).otherwise(F.col("f_size")).alias("length"),
             F.col("f_creation_date").alias("creation_time"),
             F.when(changed, when + one_day).otherwise(when).alias("modification_time"), F.lit(False).alias("denied"),
