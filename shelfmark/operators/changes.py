@@ -18,7 +18,7 @@ def insert_rows(table: DataFrame, rows: DataFrame) -> DataFrame:
 
 def upsert_rows(table: DataFrame, rows: DataFrame, key: Sequence[str]) -> DataFrame:
     """Rows replace those with the same key, the others are appended."""
-    return table.join(rows.select(*key), list(key), "left_anti").unionByName(rows.select(*table.columns))
+    return delete_rows(table, rows, key).unionByName(rows.select(*table.columns))
 
 
 def update_rows(table: DataFrame, changes: DataFrame, key: Sequence[str], fields: Sequence[str]) -> DataFrame:
@@ -41,7 +41,7 @@ def update_where(table: DataFrame, condition: Column, values: Mapping[str, Colum
 
 
 def delete_rows(table: DataFrame, keys: DataFrame, key: Sequence[str]) -> DataFrame:
-    return table.join(keys.select(*key), list(key), "left_anti")
+    return table.join(keys.select(*key), list(key), "left_anti").select(*table.columns)
 
 
 def delete_where(table: DataFrame, condition: Column) -> DataFrame:
