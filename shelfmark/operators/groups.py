@@ -11,6 +11,17 @@ from pyspark.sql.types import DataType
 from shelfmark.session import shared_dir
 
 
+def one_per_key(df: DataFrame, keys: Sequence[str], *values: Column) -> DataFrame:
+    """One row per key with aggregates, the side of a join that meets rows which may repeat a key very often.
+
+    The adaptive planner splits a hot partition only when both sides of the join come straight from a shuffle.  An
+    aggregate by the join key alone would be joined where it stands; the hash among its keys makes the planner
+    shuffle this small side once more.
+    """
+    mixed = df.groupBy(*keys, F.xxhash64(*keys).alias("_mix"))
+    return (mixed.agg(*values) if values else mixed.agg(F.first(F.lit(1)).alias("_one")).drop("_one")).drop("_mix")
+
+
 def top_n(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, spread: str, slices: int = 64
 ) -> DataFrame:
@@ -83,7 +94,7 @@ def joined_text(
     own share of the values; none is dropped.  Any smaller group is one row with ``part`` 0.
     """
     values = df.select(*keys, value).filter(F.col(value).isNotNull()).distinct()
-    sizes = values.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / per_row).alias("_parts"))
+    sizes = one_per_key(values, keys, F.ceil(F.count(F.lit(1)) / per_row).alias("_parts"))
     share = F.pmod(F.xxhash64(value), F.col("_parts")).cast("int")
     return (
         values.join(sizes, list(keys))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.operators.groups import numbered
+from shelfmark.operators.groups import numbered, one_per_key
 from shelfmark.operators.prefixes import with_prefix
 
 _TRIPLE = ["category_type", "category", "sub_category"]
@@ -17,9 +17,9 @@ def rule_of_folder(folders: DataFrame, rules: DataFrame) -> DataFrame:
 
     The path is a plain text prefix, not a path boundary, and a rule's ``is_begins`` makes no difference.
     """
-    paths = rules.select("id", F.explode("f_path").alias("path")).groupBy("path").agg(F.min("id").alias("id"))
+    paths = one_per_key(rules.select("id", F.explode("f_path").alias("path")), ["path"], F.min("id").alias("id"))
     matched = with_prefix(folders.select("f_parent").distinct(), "f_parent", paths, "path")
-    return matched.groupBy("f_parent").agg(F.min("id").alias("id"))
+    return one_per_key(matched, ["f_parent"], F.min("id").alias("id"))
 
 
 def apply_rules(cards: DataFrame, rules: DataFrame, categories: DataFrame) -> DataFrame:

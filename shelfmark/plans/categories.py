@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from shelfmark import settings
 from shelfmark.functions.ordering import ascending, descending
 from shelfmark.functions.paths import in_saved_page
+from shelfmark.operators.groups import one_per_key
 
 _CONTENT = ["sha256", "f_name"]
 
@@ -143,7 +144,7 @@ def paths_of_category(
     )
     contents = categories.join(rules.filter(wanted).select("id"), "id", "left_semi").select(*_CONTENT)
     once = cards.filter("sha256 IS NOT NULL").select(*_CONTENT, "f_parent").distinct()
-    folders = once.join(contents, _CONTENT, "left_semi").select("f_parent").distinct()
+    folders = one_per_key(once.join(contents, _CONTENT, "left_semi"), ["f_parent"])
     per_device = cards.groupBy("f_parent", "device_uid").agg(F.count(F.lit(1)).alias("n"))
     totals = per_device.join(folders, "f_parent", "left_semi").groupBy("f_parent").agg(
         F.array_join(F.array_sort(F.collect_list("device_uid")), ", ").alias("devices"), F.sum("n").alias("files")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from shelfmark import settings
 from shelfmark.functions.paths import in_saved_page
-from shelfmark.operators.groups import joined_text, repeated
+from shelfmark.operators.groups import joined_text, one_per_key, repeated
 
 
 def _without_backup(cards: DataFrame, device: str, volumes: Sequence[str]) -> DataFrame:
@@ -22,7 +22,7 @@ def _without_backup(cards: DataFrame, device: str, volumes: Sequence[str]) -> Da
         (F.col("device_uid") != device) & F.col("device_uid").isin(*volumes) & ~in_saved_page(F.col("f_parent"))
     )
     mine = hashed.filter(F.col("device_uid") == device)
-    return mine.join(saved.select("sha256").distinct(), "sha256", "left_anti")
+    return mine.join(one_per_key(saved, ["sha256"]), "sha256", "left_anti")
 
 
 def no_backup(cards: DataFrame, device: str, volumes: Sequence[str], rows: int = settings.BACKUP_ROWS) -> DataFrame:
@@ -45,7 +45,7 @@ def _reliable_device(unreliable: Sequence[str]) -> Column:
 
 def _held(groups: DataFrame, not_view: Sequence[str], few: DataFrame) -> DataFrame:
     """``few`` with one reliable device that holds the content; rows with none or one not to be viewed drop."""
-    holder = groups.groupBy("sha256").agg(F.min("device_uid").alias("device_uid")).filter("device_uid IS NOT NULL")
+    holder = one_per_key(groups, ["sha256"], F.min("device_uid").alias("device_uid")).filter("device_uid IS NOT NULL")
     if not_view:
         holder = holder.filter(~F.col("device_uid").isin(*not_view))
     return few.join(holder, "sha256")
@@ -182,7 +182,7 @@ def paths_by_hash(cards: DataFrame, sha256: str) -> DataFrame:
 
 def paths_sharing_content(cards: DataFrame, parent: str) -> DataFrame:
     """All folders that hold a content which also lies in the given folder, with the number of such files."""
-    contents = cards.filter((F.col("f_parent") == parent) & F.col("sha256").isNotNull()).select("sha256").distinct()
+    contents = one_per_key(cards.filter((F.col("f_parent") == parent) & F.col("sha256").isNotNull()), ["sha256"])
     hashed = cards.filter("sha256 IS NOT NULL").select("sha256", "device_uid", "f_parent")
     return (
         hashed.join(contents, "sha256", "left_semi")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions.paths import segment
 from shelfmark.functions.text import mebibytes
+from shelfmark.operators.groups import one_per_key
 from shelfmark.sources.listing import child_dirs
 
 _CONTENT = ["sha256", "f_name"]
@@ -62,9 +63,9 @@ def explore_folder(
         )
         .groupBy(segment(parent, depth).alias("folder"), "sha256").agg(F.count(F.lit(1)).alias("n"))
     )
-    per_content = (
-        categories.join(rules.select("id", "category_type"), "id", "left")
-        .groupBy("sha256").agg(F.count(F.lit(1)).alias("names"), F.array_sort(F.collect_set("category_type")).alias("types"))
+    per_content = one_per_key(
+        categories.join(rules.select("id", "category_type"), "id", "left"), ["sha256"],
+        F.count(F.lit(1)).alias("names"), F.array_sort(F.collect_set("category_type")).alias("types"),
     )
     found = groups.join(per_content, "sha256", "left")
     per_types = found.groupBy("folder", "types").agg(

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.functions import paths
+from shelfmark.operators.groups import one_per_key
 from shelfmark.operators.prefixes import with_prefix
 from shelfmark.settings import EXCLUDED_DIRS, EXCLUDED_FILES
 
@@ -66,7 +67,7 @@ def scan_dirs(
     """
     trimmed = F.trim(F.col("path"), F.lit("/"))
     begin = F.when(trimmed == "", F.lit("")).otherwise(F.concat(trimmed, F.lit("/")))
-    wanted = starts.select("device_uid", begin.alias("start")).distinct()
+    wanted = one_per_key(starts.select("device_uid", begin.alias("start")), ["device_uid", "start"])
     pairs = with_prefix(listed_dirs(listing), "f_parent", wanted, "start", on=["device_uid"])
     names = _walked(F.col("start"), F.col("f_parent"))
     hidden = F.exists(names, lambda name: name.contains("_files") | name.isin(*excluded)) if excluded else F.exists(
