@@ -12,14 +12,14 @@ from shelfmark.session import shared_dir
 
 
 def one_per_key(df: DataFrame, keys: Sequence[str], *values: Column) -> DataFrame:
-    """One row per key with aggregates, the side of a join that meets rows which may repeat a key very often.
+    """One row per text key with aggregates, for the side of a join that meets rows which repeat a key very often.
 
-    The adaptive planner splits a hot partition only when both sides of the join come straight from a shuffle.  An
-    aggregate by the join key alone would be joined where it stands; the hash among its keys makes the planner
-    shuffle this small side once more.
+    The adaptive planner splits a hot partition only when both sides of the join come straight from a shuffle, and an
+    aggregate by the join key would be joined where it stands.  Appending nothing to each key hides that order from
+    the planner: it shuffles this side, small by comparison, once more, and may still broadcast it.
     """
-    mixed = df.groupBy(*keys, F.xxhash64(*keys).alias("_mix"))
-    return (mixed.agg(*values) if values else mixed.agg(F.first(F.lit(1)).alias("_one")).drop("_one")).drop("_mix")
+    grouped = df.groupBy(*keys).agg(*values) if values else df.select(*keys).distinct()
+    return grouped.withColumns({key: F.concat(F.col(key), F.lit("")) for key in keys})
 
 
 def top_n(
