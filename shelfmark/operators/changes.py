@@ -82,6 +82,15 @@ def write_file_cards(cards: DataFrame, path: str) -> None:
     write_snapshot(cards, path, ["device_uid", "f_parent", "id"])
 
 
+def write_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> None:
+    """Save as a table bucketed by a key.
+
+    Tables bucketed alike by the file id, such as file cards and their metadata, join without a shuffle.  Choose a
+    unique key: rows of one bucket are read by one task.
+    """
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+
+
 def write_script(lines: DataFrame, path: str) -> None:
     """A text script as a single file.  The lines pass one task, so this fits lists a person will run."""
     lines.coalesce(1).write.mode("errorifexists").text(path)

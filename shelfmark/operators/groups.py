@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
-from shelfmark.session import shared_dir
+from shelfmark.session import shared_dir, task_count
 
 
 def one_per_key(df: DataFrame, keys: Sequence[str], *values: Column) -> DataFrame:
@@ -60,7 +60,8 @@ def numbered(df: DataFrame, keys: Sequence[str], start: Column, kind: DataType,
 def repeated(df: DataFrame, times: str, piece: int = 1_000_000) -> DataFrame:
     """Each row as often as its column ``times`` says; a large number is spread over many tasks."""
     pieces = F.sequence(F.lit(0), F.ceil(F.col(times) / piece) - 1)
-    cut = df.filter(F.col(times) > 0).withColumn("_piece", F.explode(pieces)).repartition(*df.columns, "_piece")
+    tasks = task_count(df.sparkSession)
+    cut = df.filter(F.col(times) > 0).withColumn("_piece", F.explode(pieces)).repartition(tasks, *df.columns, "_piece")
     size = F.least(F.lit(piece), F.col(times) - F.col("_piece") * piece)
     return cut.select(*[c for c in df.columns if c != times], F.explode(F.sequence(F.lit(1), size)).alias("_n")).drop("_n")
 

@@ -41,6 +41,14 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
     return tune(spark)
 
 
+def task_count(spark: SparkSession) -> int:
+    """Number of tasks for rows that are few and small but cost much each.
+
+    A repartition without a number would be merged back into one task, since its rows take up few bytes.
+    """
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder name below the shared folder the cluster names, or below a temporary one where none is set."""
     base = spark.conf.get("spark.checkpoint.dir", None)

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from conftest import plan_of, rows
 from shelfmark.operators import content, groups, rules, snapshot
-from shelfmark.operators.changes import write_file_cards
-from shelfmark.plans import categories, copies, devices
+from shelfmark.operators.changes import write_bucketed, write_file_cards
+from shelfmark.plans import categories, copies, devices, media
 from shelfmark.session import shared_dir
 from shelfmark.sources import listing
 from shelfmark.workload.queries import QUERIES
@@ -141,6 +141,33 @@ def test_results_do_not_change_under_skew_splits(spark, make, hot_cards, small_p
     assert snapshot.merge_snapshot(hot_cards, hot_cards, folders).count() == 60000
 
 
+def test_bucketed_tables_join_without_a_shuffle_on_the_id(spark, make, tmp_path):
+    cards = make.cards(*[{"f_name": f"{i}"} for i in range(20)])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name, table in {"cards_by_id": cards, "exif_by_id": cards.select("id", F.lit("m").alias("make"), F.lit("x").alias("model"))}.items():
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+            write_bucketed(table, name, "id", 4)
+        found = media.exif_devices(spark.table("cards_by_id"), spark.table("exif_by_id"))
+        assert "hashpartitioning(id" not in plan_of(found)
+        assert rows(found, "make", "files") == [("m", 20)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for name in ("cards_by_id", "exif_by_id"):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def test_costly_rows_are_not_merged_into_one_task(spark, make, tmp_path):
+    for i in range(40):
+        (tmp_path / f"f{i}").write_text(str(i))
+    work = make.cards(*[{"f_name": f"f{i}", "f_parent": ""} for i in range(40)])
+    hashed = content.hash_files(work, make.table([("d1", str(tmp_path))], "uuid string, mountpoint string"))
+    assert hashed.withColumn("task", F.spark_partition_id()).select("task").distinct().count() > 4
+    repeated = groups.repeated(make.table([("hot", 40000)], "k string, n bigint"), "n", piece=1000)
+    per_task = repeated.groupBy(F.spark_partition_id()).count().collect()
+    assert len(per_task) > 4 and sum(r["count"] for r in per_task) == 40000
+
+
 def test_merge_keeps_untouched_rows_out_of_the_id_shuffle(stored, make):
     scope = make.table([("d1", "a/")], "device_uid string, f_parent string")
     plan = plan_of(snapshot.merge_snapshot(stored, listing.scan_files(make.listing("d1", "a/1")), scope))
