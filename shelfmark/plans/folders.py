@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shelfmark.functions.paths import segment
 from shelfmark.functions.text import mebibytes
 from shelfmark.operators.groups import one_per_key
-from shelfmark.sources.listing import child_dirs
+from shelfmark.sources.listing import child_dirs, folder_text
 
 _CONTENT = ["sha256", "f_name"]
 
@@ -99,8 +99,7 @@ def scan_tree(
     ``scan_paths`` holds (device_uid, path).  A folder that is a scan path is selected, one above a scan path and one
     that cannot be read carry an icon.
     """
-    base = path.strip("/#")
-    base = base + "/" if base else ""
+    base = folder_text(path)
     mine = scan_paths.filter((F.col("device_uid") == device) & F.col("path").startswith(base))
     rest = F.substring(F.col("path"), F.lit(len(base) + 1), F.length(F.col("path")))
     first = F.substring_index(rest, "/", 1)

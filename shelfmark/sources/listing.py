@@ -102,10 +102,15 @@ def scan_files(listing: DataFrame, excluded: Sequence[str] = EXCLUDED_FILES) ->
     )
 
 
-def child_dirs(listing: DataFrame, device: str, path: str = "") -> DataFrame:
+def folder_text(path: str) -> str:
+    """A folder as listings write it; "#" and "/" stand for the mount point."""
+    inner = "" if path == "#" else path.strip("/")
+    return inner + "/" if inner else ""
+
+
+def child_dirs(listing: DataFrame, device: str, path: str = "#") -> DataFrame:
     """Directories directly below ``path``: (f_parent without trailing "/", denied)."""
-    base = path.strip("/#")
-    base = base + "/" if base else ""
+    base = folder_text(path)
     below = listing.filter((F.col("device_uid") == device) & F.col("path").startswith(base))
     rest = F.substring(F.col("path"), F.lit(len(base) + 1), F.length(F.col("path")))
     at_child = F.length(rest) == F.length(F.substring_index(rest, "/", 1)) + 1

@@ -52,8 +52,8 @@ def small_partitions(spark):
     """Limits low enough for test data to count as skewed; no broadcast, so that both sides shuffle."""
     wanted = {
         "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
-        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "5KB",
         "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "96",
     }
     before = {key: spark.conf.get(key, None) for key in wanted}
@@ -70,7 +70,7 @@ def hot_cards(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("hot")) + "/cards"
     hot = F.col("id") % 3 == 0
     n = F.col("id").cast("string")
-    cards = spark.range(0, 60000, 1, 8).select(
+    cards = spark.range(0, 30000, 1, 8).select(
         F.sha2(n, 256).alias("id"), F.lit("d1").alias("device_uid"), F.concat(F.lit("p"), n, F.lit("/")).alias("f_parent"),
         F.when(hot, "LICENSE").otherwise(n).alias("f_name"), F.lit(None).cast("string").alias("f_extension"),
         F.lit("2020-01-01").cast("timestamp_ntz").alias("f_creation_date"),
@@ -96,14 +96,14 @@ def test_a_hot_content_is_split_in_joins(spark, make, hot_cards, small_partition
     known.write.mode("overwrite").parquet(shared := shared_dir(spark, "known"))
     known = spark.read.parquet(shared)
     open_folders = categories._uncategorised(hot_cards.select("sha256", "f_name", "f_parent"), known)
-    assert is_split(open_folders) and open_folders.count() == 20000
+    assert is_split(open_folders) and open_folders.count() == 10000
     lost = copies._without_backup(hot_cards.unionByName(cold.withColumn("device_uid", F.lit("bk"))), "d1", ["bk"])
-    assert is_split(lost) and lost.count() == 20000
+    assert is_split(lost) and lost.count() == 10000
     groups_of_names = hot_cards.groupBy("sha256", F.col("f_parent").alias("f_name")).agg(F.min("device_uid").alias("device_uid"))
     held = copies._held(groups_of_names, [], groups_of_names.select("sha256", "f_name"))
-    assert is_split(held) and held.count() == 60000
+    assert is_split(held) and held.count() == 30000
     shared_content = copies.paths_sharing_content(hot_cards, "p3/")
-    assert is_split(shared_content) and shared_content.count() == 20000
+    assert is_split(shared_content) and shared_content.count() == 10000
 
 
 def test_a_hot_folder_or_device_is_split_in_joins(spark, make, hot_cards, small_partitions):
@@ -112,11 +112,11 @@ def test_a_hot_folder_or_device_is_split_in_joins(spark, make, hot_cards, small_
     cards = spark.read.parquet(path)
     scope = cards.filter("f_parent != 'hot/'").select("device_uid", "f_parent")
     merged = snapshot.merge_snapshot(cards, cards.limit(0), scope)
-    assert is_split(merged) and merged.count() == 20000
+    assert is_split(merged) and merged.count() == 10000
     ruled = cards.filter("sha256 IS NOT NULL").join(
         rules.rule_of_folder(cards, make.rules({"id": 1, "f_path": ["p", "h"]})), "f_parent"
     )
-    assert is_split(ruled) and ruled.count() == 60000
+    assert is_split(ruled) and ruled.count() == 30000
     many = cards.withColumn("device_uid", F.when(F.col("f_name") == "LICENSE", "hot").otherwise(F.col("f_name")))
     many.withColumn("sha256", F.lit(None).cast("string")).write.mode("overwrite").parquet(path := shared_dir(spark, "many"))
     cards = spark.read.parquet(path)
@@ -129,16 +129,16 @@ def test_a_hot_text_group_is_split(spark, hot_cards, small_partitions):
     text = groups.joined_text(hot_cards, ["sha256", "f_name_lc"], "f_parent", "folders", per_row=1000)
     assert is_split(text)
     hot = text.filter("f_name_lc = 'license'").collect()
-    assert len(hot) == 20 and sum(len(r.folders.split(", ")) for r in hot) == 20000
+    assert len(hot) == 10 and sum(len(r.folders.split(", ")) for r in hot) == 10000
 
 
 def test_results_do_not_change_under_skew_splits(spark, make, hot_cards, small_partitions):
     rules_table = make.rules({"id": 1, "f_path": ["p1"]}, {"id": 2, "f_path": ["p"]})
     result = rules.apply_rules(hot_cards, rules_table, make.categories())
-    assert result.count() == 40001
+    assert result.count() == 20001
     assert rows(result.filter("f_name = 'LICENSE'"), "id") == [(1,)]
     folders = hot_cards.select("device_uid", "f_parent")
-    assert snapshot.merge_snapshot(hot_cards, hot_cards, folders).count() == 60000
+    assert snapshot.merge_snapshot(hot_cards, hot_cards, folders).count() == 30000
 
 
 def test_bucketed_tables_join_without_a_shuffle_on_the_id(spark, make, tmp_path):
