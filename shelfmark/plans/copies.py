@@ -145,16 +145,19 @@ def names_not_catalogued(
 def duplicate_content_overview(cards: DataFrame, per_row: int = 100_000) -> DataFrame:
     """Per content and lower-case name: number of files, devices and folders as text, most files first.
 
-    Where a group has more than ``per_row`` folders, their text is spread over several rows (``part``).
+    Where a group has more than ``per_row`` folders, their text is spread over several rows (``part``).  Its devices
+    are at most the device table's rows and stand in each of them.
     """
     keys = ["sha256", "f_name_lc"]
     hashed = cards.filter("sha256 IS NOT NULL")
-    counts = hashed.groupBy(*keys).agg(F.count(F.lit(1)).alias("files"))
-    devices = joined_text(hashed, keys, "device_uid", "devices", per_row=per_row)
+    per_device = hashed.groupBy(*keys, "device_uid").agg(F.count(F.lit(1)).alias("n"))
+    counts = one_per_key(
+        per_device, keys, F.sum("n").alias("files"),
+        F.array_join(F.array_sort(F.collect_list("device_uid")), ", ").alias("devices"),
+    )
     folders = joined_text(hashed, keys, "f_parent", "folders", per_row=per_row)
-    texts = devices.join(folders, [*keys, "part"], "full_outer")
     return (
-        texts.join(counts, keys).select("f_name_lc", "sha256", "part", "files", "devices", "folders")
+        folders.join(counts, keys).select("f_name_lc", "sha256", "part", "files", "devices", "folders")
         .orderBy(F.desc("files"), "sha256", "f_name_lc", "part")
     )
 
