@@ -23,9 +23,12 @@ def hex_ranges(column: str, parts: int = 256) -> list[str]:
 
 
 def read_jdbc(
-    spark: SparkSession, url: str, name: str, key: str | None = "id", parts: int = 256, **properties: str
+    spark: SparkSession, url: str, table: str, key: str | None = "id", parts: int = 256, **properties: str
 ) -> DataFrame:
-    """Table of a live catalogue database, read in parallel by ranges of its hash key (``key=None``: one reader)."""
+    """Table of a live catalogue database, read in parallel by ranges of its hash key.
+
+    Without a hash key (``key=None``) one task reads it, which fits the device, rule and job tables.
+    """
     if key is None:
-        return spark.read.jdbc(url, f"sm_{name}", properties=properties)
-    return spark.read.jdbc(url, f"sm_{name}", predicates=hex_ranges(key, parts), properties=properties)
+        return spark.read.jdbc(url, table, properties=properties)
+    return spark.read.jdbc(url, table, predicates=hex_ranges(key, parts), properties=properties)

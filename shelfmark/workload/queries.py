@@ -223,11 +223,8 @@ def import_devices(c: Catalogue) -> DataFrame:
     return imported.select("id", "uid", "name", "label_v", "visible", "path_scan_date")
 
 
-_OLD_IDS = "upper(sha256(device_uid || f_name_lc))"
-
-
 def _old_ids(c: Catalogue) -> DataFrame:
-    """Cards of the first part brand still carry the key of an older layout."""
+    """Cards with the key of an older layout, taken from the lower-case name."""
     old = F.upper(F.sha2(F.concat("device_uid", "f_parent", "f_name_lc"), 256))
     return c.file_card.withColumn("id", old)
 
