@@ -50,9 +50,14 @@ def task_count(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A new folder name below the shared folder the cluster names, or below a temporary one where none is set."""
+    """A new folder name below the shared folder that the session's ``spark.checkpoint.dir`` names.
+
+    Where none is named, a temporary folder serves a ``local[..]`` master, whose tasks share the driver's disk; on a
+    cluster that would scatter the files over the executors, so it is an error.  The caller owns what lies there.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="shelfmark-")
-        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
