@@ -1,0 +1,28 @@
+from __future__ import annotations
+
+import pytest
+
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+@pytest.fixture(scope="session")
+def docs(spark):
+    """A documents table from (doc_id, text) or (doc_id, text, source)."""
+
+    def build(*rows):
+        full = [(r[0], r[1], "en", r[2] if len(r) > 2 else "s", len(r[1]) if r[1] is not None else None) for r in rows]
+        return spark.createDataFrame(full, DOCS)
+
+    return build
+
+
+@pytest.fixture
+def folder(tmp_path):
+    """Write tables as a data folder that queries take."""
+
+    def write(**tables):
+        for name, df in tables.items():
+            df.write.mode("overwrite").parquet(str(tmp_path / f"{name}.parquet"))
+        return str(tmp_path)
+
+    return write
