@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import secrets, tokens
-from shelfmark.llm.common import spans_text, table
+from shelfmark.llm import contamination, mixing, quality, secrets, tokens
+from shelfmark.llm.common import LOWER, UPPER, spans_text, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 TOKENIZER = "byte_bpe_50k.json"
 TOKEN_LIMIT = 512
+QUALITY_LEAST = 0.7
 
 
 def query(sql: str | None = None):
@@ -29,6 +30,45 @@ def query(sql: str | None = None):
     return register
 
 
+def held_out_of(doc_id: Column) -> Column:
+    """Rows that no model may learn from; a row without an id is not among them, as it can have no label."""
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(4)) == 2, F.lit(False))
+
+
+_ASCII_LOWER = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
+_WORDS_SQL = rf"regexp_extract_all({_ASCII_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+@query(rf"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, {_WORDS_SQL} AS w FROM documents
+), i AS (
+  SELECT CAST(item_id AS VARCHAR) AS item_id, {_WORDS_SQL} AS w FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, w[p : p + 9] AS words, len(w[p : p + 9]) AS n
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS p FROM i WHERE len(w) > 0)
+), sizes AS (SELECT DISTINCT n FROM windows
+), places AS (
+  SELECT r, n, w[p : p + n - 1] AS words, p
+  FROM (SELECT r, n, w, unnest(range(1, len(w) - n + 2)) AS p FROM d, sizes WHERE len(w) >= n)
+), found AS (SELECT r, item_id, n, p FROM places JOIN windows USING (n, words)
+), hits AS (SELECT r, count(DISTINCT p + k) AS n_hit FROM (SELECT r, p, unnest(range(n)) AS k FROM found) GROUP BY r
+), items AS (
+  SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+  FROM (SELECT DISTINCT r, item_id FROM found) GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN hits USING (r) LEFT JOIN items USING (r)""")
+def op1_benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    hits = contamination.benchmark_hits(docs, items, slack=0)  # the columns asked for are about exact phrases
+    return hits.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 @query()
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -54,3 +94,21 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         tokens.token_count(F.col("text"), public_tokenizers.path(TOKENIZER)).alias("n_tokens"),
     )
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
+@query()
+def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, taken = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixing.taken_per_document(documents, taken).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query()
+def op10_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    measured = stored(docs.select("doc_id", quality.text_statistics(F.col("text")).alias("statistics")), "statistics")
+    held_out = held_out_of(F.col("doc_id"))
+    model = quality.fit_quality(measured, labels, ~held_out)
+    scored = measured.select(
+        "doc_id", held_out.alias("held_out"), quality.quality_score(F.col("statistics"), model).alias("score")
+    )
+    return scored.withColumn("predicted", (F.col("score") >= QUALITY_LEAST).cast("int"))

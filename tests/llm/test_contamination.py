@@ -1,0 +1,79 @@
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+
+import pytest
+
+from corpus_fixtures import docs, folder  # noqa: F401
+from shelfmark.llm import contamination
+from shelfmark.llm.contamination import benchmark_hits
+from shelfmark.llm.queries import QUERIES
+
+
+def plain_words(text):
+    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    return re.findall("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", lower)
+
+
+def plain(docs, items, width=10):
+    out = []
+    for doc_id, text in docs:
+        found, hit, ids = plain_words(text), set(), set()
+        for item_id, item in items:
+            w = plain_words(item)
+            for at in range(max(1, len(w) - width + 1) if w else 0):
+                window = w[at : at + width]
+                for p in range(len(found) - len(window) + 1):
+                    if found[p : p + len(window)] == window:
+                        hit.update(range(p, p + len(window)))
+                        ids.add("" if item_id is None else str(item_id))
+        digest = hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
+        out.append((doc_id, len(found), len(hit), len(ids), digest, bool(hit)))
+    return sorted(out, key=str)
+
+
+def _case():
+    rng = random.Random(5)
+    vocabulary = ["the", "Of", "é", "漢", "x1", "a", "b", "c"]
+    passages = [" ".join(rng.choices(vocabulary, k=rng.choice([1, 3, 9, 10, 11, 25]))) for _ in range(8)]
+    items = [(i, p) for i, p in enumerate(passages)] + [(10, passages[3]), (None, "lone"), (3, ""), (4, None), (2, "zz yy")]
+    docs = [(None, None), (1, ""), (1, "The"), (1, "The"), (2, "lone " * 30)]
+    for n in range(60):
+        parts = [rng.choice(passages) if rng.random() < 0.5 else " ".join(rng.choices(vocabulary, k=20)) for _ in range(4)]
+        docs.append((n, rng.choice([" ", "\n", ", "]).join(parts)))
+    return docs, items
+
+
+def test_query_equals_plain_search(spark, docs, folder):
+    rows, items = _case()
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    found = QUERIES["op1_benchmark_hits"](spark, folder(documents=docs(*rows), benchmark=benchmark))
+    assert sorted(map(tuple, found.collect()), key=str) == plain(rows, items)
+
+
+def test_blocks_of_items_give_the_same(spark, docs, monkeypatch):
+    rows, items = _case()
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    whole = benchmark_hits(docs(*rows), benchmark)
+    key = lambda df: sorted(map(str, df.collect()))
+    expected = key(whole)
+    blocks = contamination.item_blocks
+    monkeypatch.setattr(contamination, "item_blocks", lambda items: blocks(items, 20))
+    assert len(list(contamination.item_blocks(benchmark))) > 2
+    assert key(benchmark_hits(docs(*rows), benchmark)) == expected
+
+
+def test_proximity(spark, docs):
+    benchmark = spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id bigint, text string")
+    rows = [(1, "alpha beta gamma delta"), (2, "alpha so beta gamma delta"), (3, "alpha beta x x x x gamma delta"), (4, "alpha")]
+    found = {r.doc_id: (r["items"], r["near_items"]) for r in benchmark_hits(docs(*rows), benchmark).collect()}
+    assert found == {1: (["1"], ["1"]), 2: ([], ["1"]), 3: ([], []), 4: ([], [])}
+
+
+@pytest.mark.parametrize("n", [0, 2])
+def test_empty_tables(spark, docs, folder, n):
+    benchmark = spark.createDataFrame([], "item_id bigint, text string")
+    where = folder(documents=docs(*[(i, "some text") for i in range(n)]), benchmark=benchmark)
+    assert [tuple(r)[1:4] for r in QUERIES["op1_benchmark_hits"](spark, where).collect()] == [(2, 0, 0)] * n

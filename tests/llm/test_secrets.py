@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+from corpus_fixtures import docs, folder  # noqa: F401
 from shelfmark.llm.queries import QUERIES
 from shelfmark.llm.secrets import embedded_checksum, find_in
 

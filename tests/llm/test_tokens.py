@@ -6,6 +6,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
+from corpus_fixtures import docs, folder  # noqa: F401
 from shelfmark.llm.queries import QUERIES
 from shelfmark.llm.tokens import token_count
 
