@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import contamination, mixing, quality, secrets, tokens, warc
+from shelfmark.llm import contamination, mixing, near_duplicates, quality, secrets, tokens, warc
 from shelfmark.llm.common import LOWER, UPPER, spans_text, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,6 +83,28 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_SPACED_SQL = rf"regexp_extract_all({_ASCII_LOWER}, '[^\x20\x09-\x0D]+')"
+
+
+@query(rf"""
+WITH RECURSIVE d AS (SELECT doc_id, {_SPACED_SQL} AS w FROM documents),
+s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, w[p : p + 4] AS shingle
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM d WHERE len(w) > 0)
+),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b USING (shingle) GROUP BY ALL),
+link AS MATERIALIZED (
+  SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)
+),
+reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+low AS (SELECT a AS doc_id, min(b) AS c FROM reach GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, doc_id) AS component_id, coalesce(c, doc_id) = doc_id AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN low USING (doc_id)""")
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 # Base 32 of a hex digest: five hex digits are four letters.
 _DIGEST_SQL = " || ".join(
     f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (CAST('0x' || substr(h, {at + 1}, 5) AS INT) // {unit}) % 32 + 1, 1)"
