@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import contamination, mixing, near_duplicates, quality, secrets, tokens, warc
+from shelfmark.llm import contamination, mixing, near_duplicates, personal_data, quality, secrets, tokens, warc
 from shelfmark.llm.common import LOWER, UPPER, spans_text, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,6 +69,21 @@ def op1_benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = docs.select("doc_id", personal_data.personal_spans(F.col("text")).alias("found"))
+    base = F.filter("found", lambda s: s["kind"].isin(*personal_data.KINDS))
+    counts = [F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("bigint") for kind in personal_data.KINDS]
+    return found.select(
+        "doc_id",
+        *[count.alias(f"n_{kind}") for count, kind in zip(counts, personal_data.KINDS)],
+        F.sha2(spans_text(base), 256).alias("base_sha256"),
+        spans_text(F.col("found")).alias("spans"),
+        F.array_join(F.transform("found", lambda s: s["score"].cast("string")), ",").alias("scores"),
+    )
+
+
 @query()
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
