@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import contamination, mixing, near_duplicates, personal_data, quality, secrets, tokens, warc
+from shelfmark.llm import contamination, fingerprints, mixing, near_duplicates, personal_data, quality, secrets, tokens, warc
 from shelfmark.llm.common import LOWER, UPPER, spans_text, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,6 +98,11 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op4_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 _SPACED_SQL = rf"regexp_extract_all({_ASCII_LOWER}, '[^\x20\x09-\x0D]+')"
 
 
