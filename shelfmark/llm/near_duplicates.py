@@ -53,7 +53,7 @@ def _hashed(words: list[bytes]) -> np.ndarray:
         known.clear()
     found = list(map(known.get, words))
     if None in found:
-        for word in set(words) - known.keys():
+        for word in {w for w in words if w not in known}:
             known[word] = xxhash.xxh64_intdigest(word)
         found = list(map(known.__getitem__, words))
     return np.array(found, np.uint64)

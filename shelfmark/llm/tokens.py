@@ -50,7 +50,7 @@ class _Pieces:
         return found
 
     def _learn(self, table: dict[str, int], words: set[str], prefix: str) -> None:
-        new = sorted(words - table.keys())
+        new = sorted(w for w in words if w not in table)
         table.update(zip(new, self._encode([prefix + w for w in new])))
 
     def counts(self, texts: list[str]) -> list[int]:
