@@ -186,7 +186,7 @@ def search_index(index: DataFrame, plans, slack: int) -> DataFrame:
 
 
 def benchmark_hits(docs: DataFrame, items: DataFrame, width: int = WINDOW, slack: int = 2) -> DataFrame:
-    """One row per document row: (doc_id, n_words, n_hit, items, near_items).
+    """One row per document row: (doc_id, digest, n_words, n_hit, items, near_items), the digest being the text's MD5.
 
     A window is ``width`` consecutive words of an item; an item of fewer words, but not none, is one window.  ``n_hit``
     counts the words inside exact occurrences, ``items`` are the item ids with one, sorted as strings, and
@@ -206,7 +206,7 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, width: int = WINDOW, slack
         parts.append(search_index(build_index(docs, {}, gap=1), [], slack))
     found = parts[0] if len(parts) == 1 else _united(parts)
     hit_words = F.aggregate(F.zip_with("froms", "tos", lambda a, b: b - a), F.lit(0).cast("bigint"), lambda s, n: s + n)
-    return found.select("doc_id", "n_words", hit_words.alias("n_hit"), "items", "near_items")
+    return found.select("doc_id", "digest", "n_words", hit_words.alias("n_hit"), "items", "near_items")
 
 
 def _united(parts: list[DataFrame]) -> DataFrame:

@@ -8,7 +8,7 @@ sums and ranks go by hash buckets, so a source that holds most rows is spread ov
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.llm.common import running_sum, stored
@@ -22,6 +22,11 @@ _BINS = 1024
 _WORDS = "[^\\x20\\x09-\\x0D]+"
 
 
+def words_in(text: str) -> Column:
+    """Number of words of a text column, 0 for null."""
+    return F.coalesce(F.regexp_count(text, F.lit(_WORDS)), F.lit(0)).cast("bigint")
+
+
 def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
     """(source, source_size, n_docs, place, target) of rows (source, size).
 
@@ -86,8 +91,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS, block: int =
     A null source is a source of its own; repeated rows count each time; documents without an id are taken as well.
     The order depends on ids, sizes and sources alone, so reruns agree.
     """
-    size = F.coalesce(F.regexp_count("text", F.lit(_WORDS)), F.lit(0)).cast("bigint")
-    sized = stored(docs.select("doc_id", "source", size.alias("size")), "sizes")
+    sized = stored(docs.select("doc_id", "source", words_in("text").alias("size")), "sizes")
     targets = source_targets(sized, weights, most).withColumn("words", F.round("target").cast("bigint"))
     targets = stored(targets, "targets")
     total = targets.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]

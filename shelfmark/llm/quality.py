@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 FEATURES = 256
 RIDGE = 1e-3
 BINS = 1000
+LEAST = 0.7  # a score from here on is accepted
 _CALIBRATION_SHARE = 5  # one labelled row in so many
 
 _CLASS = np.zeros(256, np.int64)
@@ -31,6 +32,11 @@ for _name, _chars in enumerate(
 _STATISTICS = 18
 
 
+def held_out_of(doc_id: Column) -> Column:
+    """Rows that no model may learn from; a row without an id is not among them, as it can have no label."""
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(4)) == 2, F.lit(False))
+
+
 def statistics_of(text: bytes) -> list[float]:
     """Numbers about the form of a text, none about what it says; all are 0 for an empty text."""
     if not text:

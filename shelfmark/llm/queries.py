@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from shelfmark.llm import contamination, fingerprints, mixing, near_duplicates, personal_data, quality, secrets, tokens, warc
 from shelfmark.llm.common import LOWER, UPPER, spans_text, stored, table
 
@@ -15,7 +16,6 @@ ORACLES: dict[str, str] = {}
 
 TOKENIZER = "byte_bpe_50k.json"
 TOKEN_LIMIT = 512
-QUALITY_LEAST = 0.7
 
 
 def query(sql: str | None = None):
@@ -30,11 +30,6 @@ def query(sql: str | None = None):
     return register
 
 
-def held_out_of(doc_id: Column) -> Column:
-    """Rows that no model may learn from; a row without an id is not among them, as it can have no label."""
-    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(4)) == 2, F.lit(False))
-
-
 _ASCII_LOWER = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
 _WORDS_SQL = rf"regexp_extract_all({_ASCII_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -168,9 +163,14 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     measured = stored(docs.select("doc_id", quality.text_statistics(F.col("text")).alias("statistics")), "statistics")
-    held_out = held_out_of(F.col("doc_id"))
+    held_out = quality.held_out_of(F.col("doc_id"))
     model = quality.fit_quality(measured, labels, ~held_out)
     scored = measured.select(
         "doc_id", held_out.alias("held_out"), quality.quality_score(F.col("statistics"), model).alias("score")
     )
-    return scored.withColumn("predicted", (F.col("score") >= QUALITY_LEAST).cast("int"))
+    return scored.withColumn("predicted", (F.col("score") >= quality.LEAST).cast("int"))
+
+
+@query(corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
