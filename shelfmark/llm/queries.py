@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from shelfmark.llm import contamination, fingerprints, mixing, near_duplicates, personal_data, quality, secrets, tokens, warc
+from shelfmark.llm import contamination, fingerprints, mixing, near_duplicates, personal_data, quality, repeats, secrets, tokens, warc
 from shelfmark.llm.common import LOWER, UPPER, spans_text, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,6 +153,12 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+@query()
+def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.without_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query()
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, taken = mixing.mix(table(spark, sf_dir, "documents"))
