@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def contains_pattern(text: str) -> str:
-    """LIKE pattern of a search text: lower case, each space matches anything."""
-    return "%" + text.replace(" ", "%").lower() + "%"
+    """LIKE pattern of a search text: lower case, each space matches anything, a backslash stands for itself."""
+    return "%" + text.replace("\\", "\\\\").replace(" ", "%").lower() + "%"
 
 
 def kilobytes(size: Column) -> Column:

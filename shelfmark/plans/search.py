@@ -14,10 +14,13 @@ _KEYS = ["f_name_lc", "f_name", "f_parent", "sha256", "label_v"]
 _COLUMNS = {0: "f_name", 1: "f_parent", 2: "sha256", 3: "label_v"}
 
 
-def search_names(cards: DataFrame, text: str, limit: int = SEARCH_ROWS) -> DataFrame:
-    """Distinct names that contain the text, at most 100; a space in it stands for anything."""
+def search_names(cards: DataFrame, text: str, limit: int = SEARCH_ROWS, most: int = SEARCH_ROWS) -> DataFrame:
+    """Distinct names that contain the text; a space in it stands for anything.
+
+    A caller's ``limit`` counts up to ``most`` rows, which is 100 unless another bound is given.
+    """
     found = cards.filter(F.lower("f_name_lc").like(contains_pattern(text)))
-    return found.select("f_name").distinct().orderBy("f_name").limit(min(limit, SEARCH_ROWS))
+    return found.select("f_name").distinct().orderBy("f_name").limit(min(limit, most))
 
 
 def search_page(

@@ -13,9 +13,10 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def hex_ranges(column: str, parts: int = 256) -> list[str]:
-    """Predicates that cut an upper-case hex key into up to 256 ranges of equal width, open at both ends."""
-    parts = max(1, min(parts, 256))
-    cuts = sorted({f"{256 * i // parts:02X}" for i in range(1, parts)})
+    """Predicates that cut an upper-case hex key into ranges of equal width, open at both ends."""
+    digits = max(2, len(f"{max(1, parts) - 1:X}"))
+    whole = 16**digits
+    cuts = sorted({f"{whole * i // parts:0{digits}X}" for i in range(1, parts)})
     if not cuts:
         return ["1 = 1"]
     inner = [f"{column} >= '{low}' AND {column} < '{high}'" for low, high in zip(cuts, cuts[1:])]

@@ -175,6 +175,22 @@ def test_merge_keeps_untouched_rows_out_of_the_id_shuffle(stored, make):
     assert "hashpartitioning(id" not in untouched
 
 
-def test_shared_dir_is_the_one_the_session_names(spark):
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    assert shared_dir(spark, "x").startswith((named or spark.conf.get("spark.checkpoint.dir")).rstrip("/") + "/x-")
+def test_shared_dir_is_the_one_the_session_names(spark, monkeypatch):
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        assert shared_dir(spark, "x") != shared_dir(spark, "x")
+        assert spark.conf.get("spark.checkpoint.dir", None) is None
+    spark.conf.set("spark.checkpoint.dir", "/shared/")
+    assert shared_dir(spark, "x").startswith("/shared/x-")
+    spark.conf.unset("spark.checkpoint.dir")
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+        class sparkContext:
+            master = "spark://somewhere:7077"
+
+    with pytest.raises(ValueError):
+        shared_dir(Cluster, "x")

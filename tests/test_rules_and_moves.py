@@ -146,3 +146,15 @@ def test_deep_page_equals_shallow_page(spark):
 def test_repeated(make):
     data = make.table([("a", 5), ("b", 0), ("c", -1), ("d", 1)], "k string, n bigint")
     assert rows(groups.repeated(data, "n", piece=2)) == [("a",)] * 5 + [("d",)]
+
+
+def test_every_request_is_a_job_or_rejected(make):
+    jobs = make.jobs((1, "d1", "a/", "b/"))
+    asked = make.table(
+        [("d1", "a/", "x/"), ("d1", "c/", "y/"), ("d1", "c/", "x/"), ("d1", "c/", ""), ("d1", "e/", None), ("d1", "c/", "x/")],
+        "device_uid string, path_from string, path_to string",
+    )
+    added = rows(moves.create_move_jobs(jobs, asked).filter("id > 1"), "path_from", "path_to")
+    rejected = rows(moves.rejected_move_jobs(jobs, asked), "path_from", "path_to")
+    assert added == [("c/", "x/")]
+    assert rejected == [("a/", "x/"), ("c/", ""), ("c/", "y/"), ("e/", None)]
