@@ -27,6 +27,7 @@ LEAD = 32
 _WINDOW = LENGTH - LEAD + 1
 _RUN_BYTES = 1 << 19
 _GATHERED = 2000  # classes of one lead that one task compares
+_BLOCK = 8
 _BASE = 0x9E3779B97F4A7C15
 _NONE = np.uint64(2**64 - 1)
 
@@ -253,24 +254,76 @@ def _reach_batch(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=["lead", "whole", "reach", "rest"])
 
 
+def _blocks(contexts: DataFrame) -> DataFrame:
+    """Blocks of eight neighbouring strings around the anchor: (lead, whole, n, block, core, all, low, high).
+
+    ``core`` is the hash of the bytes all strings of a block have in common, ``all`` that of the bytes of those the context
+    has, ``low`` and ``high`` the fewest and most bytes these have before the anchor.
+    """
+
+    def cut(batches):
+        for batch in _slices(batches, 1000):
+            contexts, lefts = _texts(batch, 4), np.asarray(batch.column(3)).astype(np.int64)
+            hasher = _Hasher(np.frombuffer(b"".join(contexts), np.uint8))
+            sizes = np.array([len(c) for c in contexts])
+            fewest = lefts - (sizes - LENGTH)
+            counts = lefts // _BLOCK - fewest // _BLOCK + 1
+            of = np.repeat(np.arange(len(contexts)), counts)
+            block = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts) + (fewest // _BLOCK)[of]
+            low, high = np.maximum(block * _BLOCK, fewest[of]), np.minimum(block * _BLOCK + _BLOCK - 1, lefts[of])
+            anchor = (np.cumsum(sizes) - sizes + lefts)[of]
+            core = hasher.ranges(anchor - block * _BLOCK, anchor - block * _BLOCK + LENGTH - _BLOCK + 1)
+            whole = hasher.ranges(anchor - high, anchor - low + LENGTH) ^ _mixed((low * 4096 + high).astype(np.uint64))
+            picked = pa.array(of)
+            columns = [batch.column(i).take(picked) for i in range(3)]
+            columns += [pa.array(block), pa.array(core.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(low), pa.array(high)]
+            yield pa.RecordBatch.from_arrays(columns, names=["lead", "whole", "n", "block", "core", "all", "low", "high"])
+
+    ddl = "lead bigint, whole bigint, n bigint, block bigint, core bigint, all bigint, low bigint, high bigint"
+    return stored(contexts.select("lead", "whole", "n", "left", "context").mapInArrow(cut, ddl), "blocks")
+
+
 def _counted(contexts: DataFrame) -> DataFrame:
-    """The same for leads with very many classes: strings are counted by hash, with partial sums, and joined back."""
+    """The same for leads with very many classes, by counts that are summed up before they meet.
+
+    A block that several contexts share is settled as a whole; one whose core nobody else has holds no repeated string.
+    Only where one core has several kinds of block are the block's strings counted, once for each kind.
+    """
+    blocks = _blocks(contexts)
+    kinds = blocks.groupBy("lead", "block", "core", "all").agg(
+        F.sum("n").alias("t"), F.min("whole").alias("one"), F.min("low").alias("low"), F.min("high").alias("high")
+    )
+    kinds = stored(kinds, "kinds")
+    several = kinds.groupBy("lead", "block", "core").agg(F.count(F.lit(1)).alias("_k")).filter("_k > 1").drop("_k")
+    open_ = kinds.join(several, ["lead", "block", "core"])
+    wanted = open_.groupBy("lead", F.col("one").alias("whole")).agg(F.collect_list(F.struct("t", "low", "high")).alias("wanted"))
+    source = contexts.select("lead", "whole", "left", "context").join(wanted, ["lead", "whole"])
 
     def spread(batches):
         for batch in _slices(batches, 1000):
-            lefts = np.asarray(batch.column(3))
-            of, before, hashes = _strings(_texts(batch, 4), lefts)
+            rows = [
+                (k, w["t"], before, left)
+                for k, (left, many) in enumerate(zip(batch.column(2).to_pylist(), batch.column(4).to_pylist()))
+                for w in many for before in range(w["low"], w["high"] + 1)
+            ]
+            of, t, before, left = (np.array(c, np.int64) for c in zip(*rows))
+            contexts = _texts(batch, 3)
+            sizes = np.array([len(c) for c in contexts])
+            start = (np.cumsum(sizes) - sizes)[of] + left - before
+            hashes = _Hasher(np.frombuffer(b"".join(contexts), np.uint8)).ranges(start, start + LENGTH)
             picked = pa.array(of)
-            columns = [batch.column(i).take(picked) for i in range(3)]
-            columns += [pa.array(before.astype(np.int32)), pa.array(hashes.view(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, names=["lead", "whole", "n", "before", "string"])
-
-    ddl = "lead bigint, whole bigint, n bigint, before int, string bigint"
-    strings = stored(contexts.select("lead", "whole", "n", "left", "context").mapInArrow(spread, ddl), "strings")
-    again = strings.groupBy("lead", "string", "before").agg(F.sum("n").alias("t")).filter("t > 1").drop("t")
-    met = strings.join(again, ["lead", "string", "before"])
-    return met.groupBy("lead", "whole").agg(
-        F.max("before").alias("reach"), (F.lit(LENGTH) - F.min("before")).alias("rest")
+            columns = [batch.column(i).take(picked) for i in range(2)] + [pa.array(t), pa.array(before), pa.array(hashes.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["lead", "whole", "t", "before", "string"])
+
+    ddl = "lead bigint, whole bigint, t bigint, before bigint, string bigint"
+    columns = ["lead", "whole", "left", "context", "wanted"]
+    strings = stored(source.select(*columns).mapInArrow(spread, ddl), "strings")
+    again = strings.groupBy("lead", "string", "before").agg(F.sum("t").alias("_t")).filter("_t > 1").drop("_t")
+    met = strings.join(again, ["lead", "string", "before"]).select("lead", "whole", F.col("before").alias("low"), F.col("before").alias("high"))
+    settled = blocks.join(kinds.filter("t > 1").select("lead", "block", "core", "all"), ["lead", "block", "core", "all"])
+    both = met.unionByName(settled.select("lead", "whole", "low", "high"))
+    return both.groupBy("lead", "whole").agg(
+        F.max("high").cast("int").alias("reach"), (F.lit(LENGTH) - F.min("low")).cast("int").alias("rest")
     )
 
 
