@@ -162,7 +162,8 @@ def normalise(spark: SparkSession, manifest: DataFrame, later: DataFrame, source
     jobs = (
         manifest.select("file").distinct()
         .join(later.groupBy("file").agg(F.collect_list(F.struct("ord", "refers_to")).alias("later")), "file", "left")
-        .repartition(task_count(spark), "file")
+        # By an expression of the name: a repartition by the join key itself would be merged into few tasks again.
+        .repartition(task_count(spark), F.xxhash64("file"))
     )
 
     def rewrite(batches):
@@ -229,7 +230,7 @@ def read_archives(files: DataFrame, folder: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PAGES)], schema=_PAGES)
 
-    return files.select("file", "records").repartition(parts, "file").mapInArrow(read, _PAGES_DDL)
+    return files.select("file", "records").repartition(parts, F.xxhash64("file")).mapInArrow(read, _PAGES_DDL)
 
 
 def archive_pages(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
