@@ -6,7 +6,8 @@ propose documents, and the full shingle sets confirm them.
 
 Documents with equal sets are one node from the start, so copies never meet in pairs.  Nodes that share a band are
 compared with one leader of the band first; what that links is merged, and only nodes of a band that are still apart
-are compared with its other nodes.  A band that a third of all documents share thus costs about one comparison each.
+are compared with its other nodes.  A band whose nodes are linked thus costs about one comparison each; one with many
+nodes that are similar but not linked costs more, up to all its pairs, since no link may be lost.
 """
 
 from __future__ import annotations
