@@ -13,12 +13,13 @@ nodes that are similar but not linked costs more, up to all its pairs, since no
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm.common import all_slices, as_bytes, stored
@@ -181,8 +182,12 @@ def _pair(left, right):
     return F.least(left, right).alias("a"), F.greatest(left, right).alias("b")
 
 
-def _links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All links (a, b) needed to join what belongs together among the nodes of ``buckets`` (bucket, nid, n)."""
+def linked(buckets: DataFrame, confirmed: Callable[[DataFrame], DataFrame], fits: Column) -> DataFrame:
+    """(nid, root) of what belongs together among the nodes of ``buckets`` (bucket, nid, n).
+
+    ``fits`` says of sizes n and m whether a pair is worth a test, and ``confirmed`` keeps the pairs (a, b) that are
+    links, stored.
+    """
     spark = buckets.sparkSession
     links = tested = None
     roots = spark.createDataFrame([], "nid bigint, root bigint")
@@ -203,19 +208,19 @@ def _links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         if last:  # few enough left: each node outside the main component of its band meets all others of the band
             apart = open_.join(sizes.select("bucket", "_root"), "bucket").filter(F.col("root") != F.col("_root"))
             others = open_.select("bucket", F.col("nid").alias("_nid"), F.col("n").alias("m"), F.col("root").alias("_other"))
-            met = apart.join(others, "bucket").filter((F.col("root") != F.col("_other")) & _fits(percent))
+            met = apart.join(others, "bucket").filter((F.col("root") != F.col("_other")) & fits)
         else:
             rank = F.xxhash64(F.lit(turn), "nid")
             leaders = open_.groupBy("bucket").agg(F.min_by(F.struct("nid", "n", "root"), rank).alias("_l"))
             leaders = leaders.select(
                 "bucket", F.col("_l.nid").alias("_nid"), F.col("_l.n").alias("m"), F.col("_l.root").alias("_other")
             )
-            met = open_.join(leaders, "bucket").filter((F.col("root") != F.col("_other")) & _fits(percent))
+            met = open_.join(leaders, "bucket").filter((F.col("root") != F.col("_other")) & fits)
         pairs = met.select(*_pair(F.col("nid"), F.col("_nid"))).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
-        found = _confirmed(pairs, sets, percent)
+        found = confirmed(pairs)
         links = found if links is None else links.unionByName(found)
         tested = pairs if tested is None else tested.unionByName(pairs)
         roots = connected(links)
@@ -252,11 +257,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     wanted = buckets.select("nid").distinct().join(nodes.select("nid", "rep", "set_key"), "nid")
     texts = docs.select("doc_id", "text").join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     sets = _sets(texts).join(wanted.select("set_key", "nid"), "set_key").dropDuplicates(["nid"]).select("nid", "shingles")
-    roots = _links(buckets, stored(sets, "sets"), percent)
+    sets = stored(sets, "sets")
+    roots = linked(buckets, lambda pairs: _confirmed(pairs, sets, percent), _fits(percent))
 
-    linked = nodes.join(roots, "nid").select("set_key", "rep", "root")
-    least = linked.groupBy("root").agg(F.min("rep").alias("component_id"))
-    moved = linked.join(least, "root").select("set_key", "component_id")
+    rooted = nodes.join(roots, "nid").select("set_key", "rep", "root")
+    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
+    moved = rooted.join(least, "root").select("set_key", "component_id")
     lowest = nodes.select("set_key", "rep").join(moved, "set_key", "left")
     lowest = one_per_key(lowest, ["set_key"], F.min(F.coalesce("component_id", "rep")).alias("component_id"))
     members = signed.select("doc_id", F.col("n").alias("n_shingles"), "set_key")
