@@ -95,7 +95,8 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op4_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+    found = stored(fingerprints.edited_fingerprints(table(spark, sf_dir, "documents")), "fingerprints")
+    return fingerprints.with_near_id(found)
 
 
 _SPACED_SQL = rf"regexp_extract_all({_ASCII_LOWER}, '[^\x20\x09-\x0D]+')"
