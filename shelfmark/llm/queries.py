@@ -64,6 +64,19 @@ def op1_benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op1_benchmark_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of ``op1_benchmark_hits`` and, beside them, the items with a proximity match."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    hits = contamination.benchmark_hits(docs, items)
+    digest = lambda ids: F.sha2(F.array_join(ids, ","), 256)
+    return hits.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), digest("items").alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"), F.size("near_items").cast("bigint").alias("n_near_items"),
+        digest("near_items").alias("near_items_sha256"), (F.size("near_items") > 0).alias("near_contaminated"),
+    )
+
+
 @query()
 def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")

@@ -72,6 +72,21 @@ def test_proximity(spark, docs):
     assert found == {1: (["1"], ["1"]), 2: ([], ["1"]), 3: ([], []), 4: ([], [])}
 
 
+def test_proximity_query(spark, docs, folder):
+    passage = [f"w{i}" for i in range(12)]
+    changed = {2: passage[:5] + ["so"] + passage[5:], 3: passage[:4] + passage[5:6] + passage[4:5] + passage[6:], 4: ["other"] * 12}
+    rows = [(1, " ".join(passage)), *((i, " ".join(w)) for i, w in changed.items())]
+    benchmark = spark.createDataFrame([(7, " ".join(passage))], "item_id bigint, text string")
+    where = folder(documents=docs(*rows), benchmark=benchmark)
+    found = QUERIES["op1_benchmark_proximity"](spark, where)
+    exact = QUERIES["op1_benchmark_hits"](spark, where)
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(found.select(*exact.columns)) == key(exact)
+    ids = hashlib.sha256(b"7").hexdigest(), hashlib.sha256(b"").hexdigest()
+    near = {r.doc_id: (r.n_items, r.n_near_items, r.near_items_sha256, r.near_contaminated) for r in found.collect()}
+    assert near == {1: (1, 1, ids[0], True), 2: (0, 1, ids[0], True), 3: (0, 1, ids[0], True), 4: (0, 0, ids[1], False)}
+
+
 @pytest.mark.parametrize("n", [0, 2])
 def test_empty_tables(spark, docs, folder, n):
     benchmark = spark.createDataFrame([], "item_id bigint, text string")
