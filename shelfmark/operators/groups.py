@@ -87,18 +87,21 @@ def page(df: DataFrame, order: Sequence[Column], start: int, length: int, in_one
 
 
 def joined_text(
-    df: DataFrame, keys: Sequence[str], value: str, name: str, sep: str = ", ", per_row: int = 100_000
+    df: DataFrame, keys: Sequence[str], value: str, name: str, sep: str = ", ", per_row: int | None = None
 ) -> DataFrame:
     """The distinct values of each group, sorted and joined to one text: (keys, part, name).
 
-    A group with more than ``per_row`` distinct values is spread over several rows, ``part`` 0, 1, ..., each with its
-    own share of the values; none is dropped.  Any smaller group is one row with ``part`` 0.
+    Each group is one row with ``part`` 0.  Where a caller gives ``per_row``, a group with more distinct values is
+    spread over several rows, ``part`` 0, 1, ..., each with its own share of the values; none is dropped.
     """
     values = df.select(*keys, value).filter(F.col(value).isNotNull()).distinct()
+    text = F.array_join(F.array_sort(F.collect_list(value)), sep).alias(name)
+    if per_row is None:
+        return values.groupBy(*keys).agg(text).select(*keys, F.lit(0).alias("part"), name)
     sizes = one_per_key(values, keys, F.ceil(F.count(F.lit(1)) / per_row).alias("_parts"))
     share = F.pmod(F.xxhash64(value), F.col("_parts")).cast("int")
     return (
         values.join(sizes, list(keys))
         .groupBy(*keys, share.alias("part"))
-        .agg(F.array_join(F.array_sort(F.collect_list(value)), sep).alias(name))
+        .agg(text)
     )

@@ -142,11 +142,11 @@ def names_not_catalogued(
     return repeated(left, "n").select("f_name", command.alias("command"))
 
 
-def duplicate_content_overview(cards: DataFrame, per_row: int = 100_000) -> DataFrame:
+def duplicate_content_overview(cards: DataFrame) -> DataFrame:
     """Per content and lower-case name: number of files, devices and folders as text, most files first.
 
-    Where a group has more than ``per_row`` folders, their text is spread over several rows (``part``).  Its devices
-    are at most the device table's rows and stand in each of them.
+    Each group is one row (``part`` 0) with all of its folders, which one task holds; ``duplicate_content_places`` has
+    them as rows.
     """
     keys = ["sha256", "f_name_lc"]
     hashed = cards.filter("sha256 IS NOT NULL")
@@ -155,13 +155,19 @@ def duplicate_content_overview(cards: DataFrame, per_row: int = 100_000) -> Data
         per_device, keys, F.sum("n").alias("files"),
         F.array_join(F.array_sort(F.collect_list("device_uid")), ", ").alias("devices"),
     )
-    folders = joined_text(hashed, keys, "f_parent", "folders", per_row=per_row)
+    folders = joined_text(hashed, keys, "f_parent", "folders")
     return (
         folders.join(counts, keys).select("f_name_lc", "sha256", "part", "files", "devices", "folders")
         .orderBy(F.desc("files"), "sha256", "f_name_lc", "part")
     )
 
 
+def duplicate_content_places(cards: DataFrame) -> DataFrame:
+    """The distinct places (sha256, f_name_lc, device_uid, f_parent) of each content and lower-case name, sorted."""
+    places = ["sha256", "f_name_lc", "device_uid", "f_parent"]
+    return cards.filter("sha256 IS NOT NULL").select(*places).distinct().orderBy(*places)
+
+
 def locate_copy(cards: DataFrame, mounted: DataFrame, sha256: str) -> DataFrame:
     """The first copy of a content by id on a mounted device (uuid, mountpoint), with its full path."""
     copies = cards.filter(F.col("sha256") == sha256)

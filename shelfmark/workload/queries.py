@@ -586,6 +586,11 @@ def duplicate_content_overview(c: Catalogue) -> DataFrame:
     return copies.duplicate_content_overview(c.file_card)
 
 
+@query("SELECT DISTINCT sha256, f_name_lc, device_uid, f_parent FROM file_card WHERE sha256 IS NOT NULL")
+def duplicate_content_places(c: Catalogue) -> DataFrame:
+    return copies.duplicate_content_places(c.file_card)
+
+
 @query(f"""
 SELECT id, device_uid, f_parent, f_name, f_mime_type_java, mountpoint || '/' || f_parent || f_name AS path
 FROM file_card JOIN mounted ON uuid = device_uid WHERE sha256 = '{PART_11}' ORDER BY id LIMIT 1""")

@@ -128,6 +128,15 @@ def test_duplicate_content_overview(make):
         {"f_name": "x", "sha256": "A", "f_parent": "p/"}, {"f_name": "y", "sha256": "A"}, {"f_name": "n"},
     )
     assert rows(copies.duplicate_content_overview(cards)) == [("x", "A", 0, 3, "d1, d2", "p/, q/"), ("y", "A", 0, 1, "d1", "a/")]
+    places = [("A", "x", "d1", "p/"), ("A", "x", "d1", "q/"), ("A", "x", "d2", "p/"), ("A", "y", "d1", "a/")]
+    assert [tuple(r) for r in copies.duplicate_content_places(cards).collect()] == places
+
+
+def test_duplicate_content_overview_keeps_a_hot_content_in_one_row(make):
+    parents = [f"p{at:06d}/" for at in range(100_001)]
+    folders = make.spark.range(len(parents)).select(F.format_string("p%06d/", "id").alias("f_parent"))
+    cards = make.cards({"f_name": "x", "sha256": "A"}).drop("f_parent").crossJoin(folders)
+    assert rows(copies.duplicate_content_overview(cards)) == [("x", "A", 0, len(parents), "d1", ", ".join(parents))]
 
 
 @pytest.fixture(scope="module")
