@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from shelfmark.llm import contamination, fingerprints, mixing, near_duplicates, personal_data, quality, repeats, secrets, tokens, warc
+from shelfmark.llm import (
+    contamination, fingerprints, mixing, near_duplicates, personal_data, prefix_trie, quality, repeats, secrets, tokens, warc,
+)
 from shelfmark.llm.common import LOWER, UPPER, spans_text, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -191,6 +193,42 @@ def op10_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= quality.LEAST).cast("int"))
 
 
+# Unsigned CRC-32 of an id's digits, bit by bit.
+_CRC32_SQL = """xor(list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+    lambda s, b: list_reduce([xor(s, b), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[],
+      lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"""
+
+
+@query(f"""
+WITH own AS (
+  SELECT conv_id, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}}
+    ORDER BY turn NULLS FIRST, md5(coalesce(role, '')), md5(coalesce(text, ''))) AS m
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), h AS (SELECT *, {_CRC32_SQL} % 6 AS h FROM own
+), c AS (
+  SELECT a.conv_id, coalesce(b.m[1 : a.h], []) || a.m[a.h + 1 :] AS m
+  FROM h a LEFT JOIN own b ON b.conv_id = a.conv_id - a.conv_id % 100
+), path AS (SELECT conv_id, len(m) AS size, m[1 : d] AS k, d FROM (SELECT *, unnest(range(len(m) + 1)) AS d FROM c)
+), node AS MATERIALIZED (
+  SELECT k, d, min(conv_id) AS conv_id, count(*) AS n, bool_and(size = d) AS leaf,
+    (count(*) - 1) * coalesce(length(k[d].t), 0) AS saved, string_agg(conv_id, ',' ORDER BY conv_id) FILTER (size = d) AS ends
+  FROM path GROUP BY k, d
+), below AS (
+  SELECT k[1 : a] AS k, sum(saved) AS saved, count(*) FILTER (leaf) AS leaves
+  FROM (SELECT *, unnest(range(d + 1)) AS a FROM node) GROUP BY 1
+), children AS (SELECT k[1 : d - 1] AS k, count(*) AS n_children FROM node WHERE d > 0 GROUP BY 1)
+SELECT node.conv_id, node.d AS depth, parent.conv_id AS parent_conv_id, node.n AS n_convs,
+  coalesce(n_children, 0) AS n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(below.saved AS BIGINT) AS saved_tokens,
+  sha256(coalesce(node.ends, '')) AS ends_sha256
+FROM node JOIN below ON below.k = node.k LEFT JOIN children ON children.k = node.k
+LEFT JOIN node parent ON node.d > 0 AND parent.k = node.k[1 : node.d - 1]""")
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of the rebuilt conversations; a code point counts as a token."""
+    nodes = prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"), shared_heads=True)
+    return nodes.withColumnRenamed("saved_chars", "saved_tokens")
+
+
 @query(corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
