@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from shelfmark.llm import (
-    contamination, fingerprints, mixing, near_duplicates, personal_data, prefix_trie, quality, repeats, secrets, tokens, warc,
+    contamination, fingerprints, hard_negatives, mixing, near_duplicates, nearest, personal_data, prefix_trie, quality, repeats, secrets,
+    tokens, warc,
 )
 from shelfmark.llm.common import LOWER, UPPER, spans_text, stored, table
 
@@ -229,6 +230,42 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.withColumnRenamed("saved_chars", "saved_tokens")
 
 
+@query("""
+WITH e AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id,
+    CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE CAST(label AS BIGINT) END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS MATERIALIZED (
+  SELECT a.r, a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+    CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.r <> b.r
+), p AS (
+  SELECT r, anchor_id, vec_id AS positive_id, score AS positive_score,
+    row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS p
+  FROM s WHERE same QUALIFY p <= 5
+)
+SELECT p.anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score,
+  CAST(row_number() OVER (PARTITION BY p.r, p.p ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+FROM p JOIN s ON s.r = p.r AND NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+QUALIFY rank <= 5""")
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hundredth vector as an anchor, against all vectors."""
+    embeddings = table(spark, sf_dir, "embeddings")
+    label = F.col("label").cast("bigint")
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    rows = hard_negatives.quantised(embeddings.withColumn("label", moved))
+    return hard_negatives.hard_negatives(rows, rows.filter(F.col("vec_id") % 100 == 0))
+
+
+@query()
+def op13_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors found for every hundredth one, by Euclidean distance."""
+    return nearest.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 @query(corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
