@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+from shelfmark.settings import EXCLUDED_DIRS
+
 _PARENT = """l_returnflag || '/' || l_linestatus || '/m' || month(l_shipdate)
     || CASE WHEN l_linenumber = 7 THEN '/page_files/' ELSE '/' END"""
 
@@ -103,10 +105,10 @@ FROM (
     UNION SELECT 'dev-' || s_suppkey, 'locked/' FROM supplier WHERE s_acctbal < 0
   )
 )""",
-    "scan_dir": r"""
+    "scan_dir": rf"""
 SELECT device_uid, f_parent FROM listed_dir
 WHERE (f_parent LIKE 'A/%' OR f_parent LIKE 'N/O/%') AND NOT regexp_matches(f_parent, '_files')
-  AND NOT regexp_matches('/' || f_parent, '/(target|node_modules|\.svn|eclipse|\.metadata|\.settings|\.idea|\.gradle|\.git)/')""",
+  AND NOT regexp_matches('/' || f_parent, '/({"|".join(map(re.escape, EXCLUDED_DIRS))})/')""",
     "merged": """
 SELECT o.* FROM file_card o ANTI JOIN scan_dir d ON o.device_uid = d.device_uid AND o.f_parent = d.f_parent
 UNION ALL

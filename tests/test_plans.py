@@ -175,22 +175,22 @@ def test_merge_keeps_untouched_rows_out_of_the_id_shuffle(stored, make):
     assert "hashpartitioning(id" not in untouched
 
 
-def test_shared_dir_is_the_one_the_session_names(spark, monkeypatch):
+class _Session:
+    """What ``shared_dir`` asks of a session."""
+
+    def __init__(self, master, folder=None):
+        self.conf = {"spark.checkpoint.dir": folder} if folder else {}
+        self.sparkContext = type("Context", (), {"master": master})
+
+
+def test_shared_dir_is_the_one_the_session_names(spark):
     if not spark.conf.get("spark.checkpoint.dir", None):
         assert shared_dir(spark, "x") != shared_dir(spark, "x")
         assert spark.conf.get("spark.checkpoint.dir", None) is None
-    spark.conf.set("spark.checkpoint.dir", "/shared/")
-    assert shared_dir(spark, "x").startswith("/shared/x-")
-    spark.conf.unset("spark.checkpoint.dir")
+    for master in ("local[8]", "spark://somewhere:7077"):
+        assert shared_dir(_Session(master, "/shared/"), "x").startswith("/shared/x-")
 
 
 def test_a_cluster_needs_a_shared_folder():
-    class Cluster:
-        class conf:
-            get = staticmethod(lambda key, default=None: default)
-
-        class sparkContext:
-            master = "spark://somewhere:7077"
-
     with pytest.raises(ValueError):
-        shared_dir(Cluster, "x")
+        shared_dir(_Session("spark://somewhere:7077"), "x")
