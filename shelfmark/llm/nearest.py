@@ -126,7 +126,8 @@ class Shard:
     def bucket_rows(self, at: int, chosen: np.ndarray) -> np.ndarray:
         """Rows of the chosen values of a substring."""
         _, starts, rows = self.tables[at]
-        low, count = starts[:-1][chosen], np.diff(starts)[chosen]
+        low = starts[chosen]
+        count = starts[chosen + 1] - low
         if not len(low):
             return rows[:0]
         begin = np.cumsum(count) - count
@@ -154,9 +155,11 @@ def probe(shard: Shard, codes: Codes, vector: np.ndarray, code: np.ndarray, uid:
     compared = 0
     for step in range(SUBSTRING + 1):
         covered = len(apart) * (step + 1) - 1
-        found = np.unique(np.concatenate([shard.bucket_rows(at, np.flatnonzero(d == step)) for at, d in enumerate(apart)]))
-        found = found[~seen[found]]
-        seen[found] = True
+        fresh = np.zeros(len(seen), bool)
+        for at, bits_apart in enumerate(apart):
+            fresh[shard.bucket_rows(at, np.flatnonzero(bits_apart == step))] = True
+        found = np.flatnonzero(fresh & ~seen)
+        seen |= fresh
         waiting = np.append(waiting, found)
         bits = np.append(bits, np.bitwise_count(shard.codes[found] ^ code).sum(axis=1, dtype=np.int64))
         within = bits <= min(covered, codes.radius(best.scores[-1], norm))
