@@ -12,11 +12,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.functions.text import kilobytes
-from shelfmark.operators import changes, content, metadata, moves, rules, snapshot, thumbnails
+from shelfmark.operators import changes, content, metadata, moves, rules, snapshot, stored, thumbnails
 from shelfmark.plans import categories, copies, devices, folders, media, search
 from shelfmark.session import shared_dir
 from shelfmark.sources import listing, names, rule_files, volumes
 from shelfmark.streaming import catalogue as streams
+from shelfmark.streaming import worklist
 from shelfmark.workload.oracle import with_tables
 from shelfmark.workload.tables import Catalogue
 
@@ -180,8 +181,27 @@ def json_rows(c: Catalogue) -> DataFrame:
 
 @query(f"SELECT {_CARD_SQL} FROM merged")
 def merge_snapshot(c: Catalogue) -> DataFrame:
-    scope = listing.scan_dirs(c.listing, c.scan_path)
-    return snapshot.merge_snapshot(c.file_card, listing.scan_files(c.listing), scope)
+    seen = _kept(c, c.listing, "listing")
+    scope = _kept(c, listing.scan_dirs(seen, c.scan_path), "scope")
+    return snapshot.merge_snapshot(_kept(c, c.file_card, "cards"), listing.scan_files(seen), scope)
+
+
+def _kept(c: Catalogue, df: DataFrame, name: str) -> DataFrame:
+    """The rows as a stored table, as an operator that reads them several times wants them."""
+    path = shared_dir(c.spark, name)
+    df.write.parquet(path)
+    return c.spark.read.schema(df.schema).parquet(path)
+
+
+@query(f"SELECT {_CARD_SQL} FROM merged")
+def merge_stored(c: Catalogue) -> DataFrame:
+    """The catalogue in files of folder ranges, of which the scan rewrites only those it touches."""
+    root = shared_dir(c.spark, "stored")
+    seen = _kept(c, c.listing, "listing")
+    scope = _kept(c, listing.scan_dirs(seen, c.scan_path), "scope")
+    stored.create(c.file_card, root)
+    stored.merge_stored(c.spark, root, listing.scan_files(seen), scope)
+    return stored.read_cards(c.spark, root)
 
 
 @query(f"SELECT {_CARD_SQL} FROM merged")
@@ -854,18 +874,58 @@ def images_of_folder_total(c: Catalogue) -> DataFrame:
 # --- streams ---------------------------------------------------------------------------------------------------------
 
 
-@query(f"SELECT {_CARD_SQL} FROM merged")
-def stream_merge(c: Catalogue) -> DataFrame:
+def _merged_stream(c: Catalogue, root: str, fold_every: int | None = None) -> None:
     """The listing arrives as files of whole folders and is merged in micro-batches."""
-    root = shared_dir(c.spark, "stream-merge")
-    streams.start_catalogue(c.file_card, f"{root}/catalogue")
     folder = F.substring_index("path", "/", 3)
     c.listing.repartition(8, "device_uid", folder).write.parquet(f"{root}/arrivals")
     arrivals = streams.read_listings(c.spark, f"{root}/arrivals", files_per_batch=4)
-    streams.stream_merge(arrivals, c.scan_path, f"{root}/catalogue", f"{root}/progress").awaitTermination()
+    merge = streams.stream_merge(arrivals, c.scan_path, f"{root}/catalogue", f"{root}/progress", fold_every=fold_every)
+    merge.awaitTermination()
+
+
+@query(f"SELECT {_CARD_SQL} FROM merged")
+def stream_merge(c: Catalogue) -> DataFrame:
+    root = shared_dir(c.spark, "stream-merge")
+    streams.start_catalogue(c.file_card, f"{root}/catalogue")
+    _merged_stream(c, root)
+    return streams.current_cards(c.spark, f"{root}/catalogue")
+
+
+@query(f"SELECT {_CARD_SQL} FROM merged")
+def stream_merge_compacted(c: Catalogue) -> DataFrame:
+    """After every batch the log is folded into the files it touches; old files and the folded log are removed."""
+    root = shared_dir(c.spark, "stream-fold")
+    streams.start_catalogue(c.file_card, f"{root}/catalogue")
+    _merged_stream(c, root, fold_every=1)
+    streams.drop_folded(c.spark, f"{root}/catalogue")
+    stored.vacuum(c.spark, f"{root}/catalogue/base")
     return streams.current_cards(c.spark, f"{root}/catalogue")
 
 
+@query("""
+SELECT m.* REPLACE (coalesce(m.sha256, CASE WHEN d.id IS NOT NULL THEN upper(sha256(m.f_name)) END) AS sha256)
+FROM merged m LEFT JOIN (
+  SELECT m.id, row_number() OVER (PARTITION BY m.device_uid ORDER BY m.f_size, m.id) AS rn
+  FROM merged m JOIN candidate c ON c.uid = m.device_uid AND NOT c.job_calc_crc
+  WHERE m.sha256 IS NULL AND m.f_size > 0 AND m.f_size <= 700000000
+) d ON d.id = m.id AND d.rn <= 20""")
+def stream_merge_then_hash(c: Catalogue) -> DataFrame:
+    """Scans are merged, then two ticks take ten files per device off the kept list; a file's name stands for its bytes."""
+    root = shared_dir(c.spark, "stream-list")
+    streams.start_catalogue(c.file_card, f"{root}/catalogue")
+    worklist.start_worklist(c.spark, f"{root}/catalogue", f"{root}/open")
+    _merged_stream(c, root)
+    for _ in range(2):
+        c.device.select("id").coalesce(1).write.mode("append").parquet(f"{root}/ticks")
+    ticks = c.spark.readStream.schema("id int").option("maxFilesPerTrigger", 1).parquet(f"{root}/ticks")
+    worklist.stream_hash_open(
+        ticks, f"{root}/catalogue", f"{root}/open", c.device, c.mounted, lambda work: content.content_hash(work, "f_name"),
+        f"{root}/ticked", max_devices=_EVERY_DEVICE, max_files=10, available_now=True,
+    ).awaitTermination()
+    hashes = streams.known_hashes(c.spark, f"{root}/open/hashes")
+    return content.apply_hashes(streams.current_cards(c.spark, f"{root}/catalogue"), hashes)
+
+
 @query(f"""
 SELECT f.* REPLACE (coalesce(f.sha256, CASE WHEN d.id IS NOT NULL THEN upper(sha256(f.f_name)) END) AS sha256)
 FROM file_card f LEFT JOIN (
