@@ -17,13 +17,18 @@ def insert_rows(table: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def upsert_rows(table: DataFrame, rows: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Rows replace those with the same key, the others are appended."""
-    return delete_rows(table, rows, key).unionByName(rows.select(*table.columns))
+    """Rows replace those with the same key, the others are appended; of rows that repeat a key the least one counts."""
+    once = rows.groupBy(*key).agg(F.min(F.struct(*[c for c in table.columns if c not in key])).alias("_row"))
+    new = once.select(*[F.col(c) if c in key else F.col("_row")[c].alias(c) for c in table.columns])
+    return delete_rows(table, new, key).unionByName(new)
 
 
 def update_rows(table: DataFrame, changes: DataFrame, key: Sequence[str], fields: Sequence[str]) -> DataFrame:
-    """Set ``fields`` from the change with the same key, NULL included; rows without a change stay as they are."""
-    new = changes.select(*key, F.struct(*fields).alias("_new"))
+    """Set ``fields`` from the change with the same key, NULL included; rows without a change stay as they are.
+
+    Of changes that repeat a key the least one counts, by the fields in their order, NULL first.
+    """
+    new = changes.groupBy(*key).agg(F.min(F.struct(*fields)).alias("_new"))
     joined = table.join(new, list(key), "left")
     return joined.select(
         *[

@@ -38,6 +38,25 @@ def top_n(
     return best.withColumn("_rank", F.row_number().over(for_group)).filter(F.col("_rank") <= n).drop("_rank")
 
 
+def packed(df: DataFrame, size: str, tasks: int, spread: str, name: str = "task", buckets: int = 1024) -> DataFrame:
+    """Add ``name``, from 0 to ``tasks - 1``, so that tasks hold about equal sums of ``size``.
+
+    Rows go by the hash of ``spread``, unique values; sums are run up over the buckets of that hash first and then within
+    each.  A row lies in the task in which its middle falls.
+    """
+    hashed = df.withColumn("_bucket", F.pmod(F.xxhash64(spread), F.lit(buckets)))
+    sums = hashed.groupBy("_bucket").agg(F.sum(size).alias("_sum"))
+    earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    offsets = sums.select(
+        "_bucket", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"), F.sum("_sum").over(whole).alias("_all")
+    )
+    within = Window.partitionBy("_bucket").orderBy(spread).rowsBetween(Window.unboundedPreceding, -1)
+    middle = F.col("_before") + F.coalesce(F.sum(size).over(within), F.lit(0)) + F.col(size) / 2
+    task = F.least(F.floor(middle * tasks / F.greatest("_all", F.lit(1))), F.lit(tasks - 1)).cast("int")
+    return hashed.join(offsets, "_bucket").withColumn(name, task).drop("_bucket", "_before", "_all")
+
+
 def numbered(df: DataFrame, keys: Sequence[str], start: Column, kind: DataType, name: str = "id") -> DataFrame:
     """Give rows that are unique by ``keys`` the numbers ``start + 1, start + 2, ...`` in the order of the keys' hash.
 

@@ -2,50 +2,65 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_DEVICE = "name string, label string, uuid string, mountpoint string, fstype string"
-_REQUIRED = ("name", "uuid", "mountpoint", "fstype")
+from shelfmark.session import remove_dir, shared_dir
+
+_TEXTS = ("name", "uuid", "mountpoint", "fstype")
 
 # Where a volume's text names its mount point.
 MOUNT_PATTERN = r"\(([^)]+)\)"
 WINDOWS_MOUNT_PATTERN = r"(.*)\s+(\([^\)]+\))"
 
 
-def _objects(node):
-    if isinstance(node, dict):
-        yield node
-        node = node.values()
-    elif not isinstance(node, list):
-        return
-    for child in node:
-        yield from _objects(child)
+def _kind(node: Column) -> Column:
+    return F.schema_of_variant(node)
 
 
-def _devices_of(document: str | None) -> list[dict]:
-    found = []
-    for node in _objects(json.loads(document) if document else None):
-        label = node.get("label", 0)
-        if all(isinstance(node.get(key), str) for key in _REQUIRED) and (label is None or isinstance(label, str)):
-            found.append({**{key: node[key] for key in _REQUIRED}, "label": label or ""})
-    return found
+def _field(name: str) -> Column:
+    return F.variant_get("node", f"$.{name}", "variant")
 
 
 def block_devices(reports: DataFrame, column: str = "report") -> DataFrame:
     """Devices in the JSON reports of block devices, at whatever depth and under whatever key they stand.
 
-    A schema cannot describe unbounded nesting, so each report (one per host, small) is walked in an Arrow batch.
+    A device is an object with texts ``name``, ``uuid``, ``mountpoint`` and ``fstype`` and a ``label`` that is a text or null.
+    Reports are parsed once; then one level after the other is opened, as long as a level holds objects or lists, so
+    there are as many steps as the deepest report has levels.  A null or empty report has no device; one that is no
+    JSON is left out here and comes from ``broken_reports``.
     """
+    spark = reports.sparkSession
+    root = shared_dir(spark, "reports")
+    level, depth, parts = reports.select(F.try_parse_json(F.col(column)).alias("node")), 0, []
+    container = _kind(F.col("node")).startswith("OBJECT") | _kind(F.col("node")).startswith("ARRAY")
+    while True:
+        path = f"{root}/level={depth}"
+        level.filter(container).write.parquet(path)
+        opened = spark.read.schema("node variant").parquet(path)
+        if opened.isEmpty():
+            break
+        parts.append(path)
+        inner = opened.lateralJoin(spark.tvf.variant_explode(F.col("node").outer()))
+        level, depth = inner.select(F.col("value").alias("node")), depth + 1
+    remove_dir(spark, f"{root}/level={depth}")
+    nodes = spark.read.schema("node variant").parquet(*parts) if parts else opened
+    whole = F.lit(True)
+    for name in _TEXTS:
+        whole &= F.coalesce(_kind(_field(name)) == "STRING", F.lit(False))
+    label = F.coalesce(_kind(_field("label")).isin("STRING", "VOID"), F.lit(False))
+    text = lambda name: F.variant_get("node", f"$.{name}", "string").alias(name)
+    found = nodes.filter(_kind(F.col("node")).startswith("OBJECT")).filter(whole & label)
+    return found.select(
+        text("name"), F.coalesce(F.variant_get("node", "$.label", "string"), F.lit("")).alias("label"), text("uuid"), text("mountpoint"),
+        text("fstype"),
+    )
 
-    @F.pandas_udf(f"array<struct<{_DEVICE.replace(' string', ':string')}>>")
-    def devices(texts: pd.Series) -> pd.Series:
-        return texts.map(_devices_of)
 
-    return reports.select(F.inline(devices(F.col(column))))
+def broken_reports(reports: DataFrame, column: str = "report") -> DataFrame:
+    """The rows whose report is neither null nor empty and yet no JSON."""
+    text = F.col(column)
+    return reports.filter((F.trim(text) != "") & F.try_parse_json(text).isNull())
 
 
 def unique_volumes(stores: DataFrame, pattern: str = MOUNT_PATTERN) -> DataFrame:

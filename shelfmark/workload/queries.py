@@ -89,6 +89,20 @@ def block_devices(c: Catalogue) -> DataFrame:
     return volumes.block_devices(c.block_report)
 
 
+@query("""
+SELECT 'sda1' AS name, CASE WHEN s_acctbal > 0 THEN s_name ELSE '' END AS label, 'dev-' || s_suppkey AS uuid,
+  '/mnt/dev-' || s_suppkey AS mountpoint, 'ext4' AS fstype
+FROM supplier WHERE s_suppkey % 10 <> 4""")
+def block_devices_of_whole_reports(c: Catalogue) -> DataFrame:
+    """Reports that were cut off stop nobody: the others' devices come out, and ``broken_block_reports`` names them."""
+    return volumes.block_devices(c.broken_block_report)
+
+
+@query("SELECT s_suppkey FROM supplier WHERE s_suppkey % 10 = 4")
+def broken_block_reports(c: Catalogue) -> DataFrame:
+    return volumes.broken_reports(c.broken_block_report).select("s_suppkey")
+
+
 @query("""
 SELECT '' AS name, s_name AS label, s_name AS uuid, '/media/' || s_suppkey AS mountpoint, '' AS fstype
 FROM supplier WHERE s_acctbal >= 0 AND s_nationkey NOT IN (3, 5)
@@ -288,6 +302,23 @@ def content_hash(c: Catalogue) -> DataFrame:
     return content.content_hash(c.source("documents"), "text").select("doc_id", "sha256")
 
 
+@query("SELECT doc_id, upper(sha256(coalesce(text, ''))) AS sha256 FROM documents")
+def hash_files(c: Catalogue) -> DataFrame:
+    """Every document as a file of its own, hashed from the files' bytes."""
+    root = shared_dir(c.spark, "files")
+    work = c.document_files(root)
+    mounts = c.spark.createDataFrame([("texts", f"{root}/files")], "uuid string, mountpoint string")
+    return content.hash_files(work, mounts).select(F.col("id").cast("bigint").alias("doc_id"), "sha256")
+
+
+@query("SELECT doc_id, strlen(coalesce(text, '')) AS length, upper(sha256(coalesce(text, ''))) AS sha256 FROM documents")
+def hash_folder(c: Catalogue) -> DataFrame:
+    root = shared_dir(c.spark, "files")
+    c.document_files(root)
+    name = F.regexp_extract("path", r"(\d+)\.txt$", 1).cast("bigint")
+    return content.hash_folder(c.spark, f"{root}/files").select(name.alias("doc_id"), "length", "sha256")
+
+
 @query(f"""
 SELECT f.* REPLACE (coalesce(f.sha256, CASE WHEN d.id IS NOT NULL THEN upper(sha256(f.f_name)) END) AS sha256)
 FROM file_card f LEFT JOIN due_file d ON d.id = f.id""")

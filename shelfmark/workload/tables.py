@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.functions.paths import file_id, sha256_text, thumbnail_key
+from shelfmark.operators import content
 from shelfmark.schema import DEVICE, EXIF
 from shelfmark.session import tune
 
@@ -242,7 +243,37 @@ class Catalogue:
         swap = node(F.lit("sda2"), F.lit("swap"), empty, empty, F.lit("[SWAP]"))
         root = node(F.lit("sda"), empty, empty, empty, empty, disk, swap)
         report = F.struct(F.array(node(F.lit("bus"), empty, empty, empty, empty, root)).alias("blockdevices"))
-        return self.source("supplier").select(F.to_json(report, {"ignoreNullFields": "false"}).alias("report"))
+        text = F.to_json(report, {"ignoreNullFields": "false"})
+        return self.source("supplier").select("s_suppkey", text.alias("report"))
+
+    @cached_property
+    def broken_block_report(self) -> DataFrame:
+        """Reports of which every tenth was cut off on its way."""
+        cut = F.substring("report", F.lit(1), F.length("report") - 7)
+        report = F.when(F.col("s_suppkey") % 10 == 4, cut).otherwise(F.col("report"))
+        return self.block_report.withColumn("report", report)
+
+    def document_files(self, root: str) -> DataFrame:
+        """The documents as files below a folder, written by the tasks that read them: a work list of one device."""
+
+        def write(batches):
+            files, base = content.open_folder(root)
+            for batch in batches:
+                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    folder = f"{base.rstrip('/')}/files/{doc_id % 50}"
+                    files.create_dir(folder, recursive=True)
+                    with files.open_output_stream(f"{folder}/{doc_id}.txt", compression=None) as file:
+                        file.write((text or "").encode())
+                yield batch.select(["doc_id", "f_size"])
+
+        rows = self.source("documents").select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("f_size"))
+        rows.mapInArrow(write, "doc_id bigint, f_size bigint").write.parquet(f"{root}/written")
+        written = self.spark.read.schema("doc_id bigint, f_size bigint").parquet(f"{root}/written")
+        key = F.col("doc_id").cast("string")
+        return written.select(
+            "doc_id", key.alias("id"), F.lit("texts").alias("device_uid"), F.concat((F.col("doc_id") % 50).cast("string"), F.lit("/")).alias("f_parent"),
+            F.concat(key, F.lit(".txt")).alias("f_name"), "f_size",
+        )
 
     @cached_property
     def volume(self) -> DataFrame:

@@ -6,7 +6,7 @@ import hashlib
 from pyspark.sql import functions as F
 
 from conftest import day, rows, sha
-from shelfmark.operators import content, metadata, thumbnails
+from shelfmark.operators import changes, content, groups, metadata, thumbnails
 
 NOW = dt.datetime(2024, 6, 15, 12)
 
@@ -134,3 +134,44 @@ def test_thumbnails(make):
     assert rows(thumbnails.thumbnail_keys(work), "file_id", "cache_path") == [
         (key, f"images-cache/AB/{key}"), ("CD34_" + sha("b"), "images-cache/CD/CD34_" + sha("b")),
     ]
+
+
+def test_files_are_packed_by_bytes(spark):
+    sizes = spark.range(3000).selectExpr("cast(id as string) AS id", "IF(id % 100 = 0, 5000, id % 7) AS f_size")
+    packed = groups.packed(sizes, "f_size", 12, "id").groupBy("task").agg(F.sum("f_size").alias("s"), F.count("id").alias("n"))
+    found = {r.task: r.s for r in packed.collect()}
+    assert set(found) == set(range(12)) and sum(found.values()) == sizes.agg(F.sum("f_size")).first()[0]
+    assert max(found.values()) <= sum(found.values()) / 12 + 5000
+    empty = groups.packed(sizes.limit(0), "f_size", 12, "id")
+    assert empty.collect() == [] and "task" in empty.columns
+    zero = groups.packed(sizes.withColumn("f_size", F.lit(0)), "f_size", 12, "id")
+    assert zero.count() == 3000
+
+
+def test_files_below_a_uri_and_names_with_blanks(spark, make, tmp_path):
+    folder = tmp_path / "a b" / "ü%"
+    folder.mkdir(parents=True)
+    (folder / "n 1.txt").write_bytes(b"one")
+    (folder / "empty").write_bytes(b"")
+    (folder / "big.bin").write_bytes(b"x" * (3 << 20))
+    work = make.cards(*[{"f_parent": "ü%/", "f_name": n, "f_size": s} for n, s in [("n 1.txt", 3), ("empty", None), ("big.bin", 3 << 20), ("no", 1)]])
+    digest = {sha("d1ü%/" + p.name): hashlib.sha256(p.read_bytes()).hexdigest().upper() for p in folder.iterdir()}
+    for mount in (f"{tmp_path}/a b/", f"file://{tmp_path}/a%20b"):
+        mounts = make.table([("d1", mount), ("d1", "zzz")], "uuid string, mountpoint string")  # the least path counts
+        assert {r.id: r.sha256 for r in content.hash_files(work, mounts).collect()} == digest
+    below = content.hash_folder(spark, f"{tmp_path}/a b")
+    nothing = hashlib.sha256(b"").hexdigest().upper()  # an empty file is not listed
+    assert sorted(r.sha256 for r in below.collect()) == sorted(set(digest.values()) - {nothing})
+
+
+def test_repeated_changes_and_hashes_do_not_multiply_files(make):
+    cards = make.cards({"f_name": "x"}, {"f_name": "y"})
+    first = cards.filter("f_name = 'x'").first()
+    twice = make.table([(first.id, "B"), (first.id, "A"), (first.id, "A")], "id string, sha256 string")
+    assert rows(content.apply_hashes(cards, twice), "f_name", "sha256") == [("x", "A"), ("y", None)]
+    version = [(first.id, first.f_last_modified_date, 10, "B"), (first.id, first.f_last_modified_date, 10, "A"), (first.id, day(9), 10, "0")]
+    known = make.table(version, "id string, f_last_modified_date timestamp_ntz, f_size bigint, sha256 string")
+    assert rows(content.apply_hashes(cards, known), "f_name", "sha256") == [("x", "A"), ("y", None)]
+    table = make.table([(1, "a", 1), (2, "b", 2)], "k int, v string, w int")
+    more = make.table([(2, "z", 9), (2, "c", 10), (3, "d", 4), (3, "d", 4)], "k int, v string, w int")
+    assert rows(changes.upsert_rows(table, more, ["k"])) == [(1, "a", 1), (2, "c", 10), (3, "d", 4)]
