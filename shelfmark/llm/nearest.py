@@ -94,44 +94,43 @@ class Codes:
 
 
 class Shard:
-    """Rows of one part of the index with a table per substring: distinct values, where each one's rows start, rows."""
+    """Rows of one part of the index with a table per substring: distinct values and the rows of each."""
 
     def __init__(self, parts: list[bytes]):
         self.ids, self.uids = (np.frombuffer(p, np.int64) for p in parts[:2])
         self.vectors = np.frombuffer(parts[2], np.dtype(parts[3].decode())).reshape(len(self.ids), -1).astype(np.float64)
         self.codes = np.frombuffer(parts[4], np.uint16).reshape(len(self.ids), -1)
-        sizes, values = np.frombuffer(parts[5], np.int64), np.frombuffer(parts[6], np.uint16)
-        starts, rows = np.frombuffer(parts[7], np.int32), np.frombuffer(parts[8], np.int32).reshape(len(sizes), -1)
-        ends = np.cumsum(sizes)
-        self.tables = [
-            (values[end - size : end], np.append(starts[end - size : end], len(self.ids)), rows[at])
-            for at, (size, end) in enumerate(zip(sizes, ends))
-        ]
+        # All substrings' tables behind one another; ``sizes`` says how many values each has.
+        self.sizes, self.values = np.frombuffer(parts[5], np.int64), np.frombuffer(parts[6], np.uint16)
+        self.low, self.rows = np.frombuffer(parts[7], np.int64), np.frombuffer(parts[8], np.int32)
+        self.count = np.diff(np.append(self.low, len(self.rows)))
 
     @staticmethod
     def parts(ids: np.ndarray, uids: np.ndarray, vectors: np.ndarray, codes: np.ndarray) -> list[bytes]:
         sizes, values, starts, rows = [], [], [], []
-        for column in codes.T:
+        for at, column in enumerate(codes.T):
             order = np.argsort(column, kind="stable").astype(np.int32)
             value, start = np.unique(column[order], return_index=True)
             sizes.append(len(value))
             values.append(value)
-            starts.append(start.astype(np.int32))
+            starts.append(start + at * len(ids))
             rows.append(order)
         return [
             ids.tobytes(), uids.tobytes(), vectors.tobytes(), vectors.dtype.str.encode(), codes.tobytes(),
             np.array(sizes, np.int64).tobytes(), *(np.concatenate(x).tobytes() for x in (values, starts, rows)),
         ]
 
-    def bucket_rows(self, at: int, chosen: np.ndarray) -> np.ndarray:
-        """Rows of the chosen values of a substring."""
-        _, starts, rows = self.tables[at]
-        low = starts[chosen]
-        count = starts[chosen + 1] - low
-        if not len(low):
-            return rows[:0]
+    def apart(self, code: np.ndarray) -> np.ndarray:
+        """Bits in which each substring value differs from the code's substring."""
+        return np.bitwise_count(self.values ^ np.repeat(code, self.sizes))
+
+    def holding(self, chosen: np.ndarray) -> np.ndarray:
+        """Which rows have one of the chosen values."""
+        low, count = self.low[chosen], self.count[chosen]
         begin = np.cumsum(count) - count
-        return rows[np.repeat(low - begin, count) + np.arange(count.sum())]
+        found = np.zeros(len(self.ids), bool)
+        found[self.rows[np.repeat(low - begin, count) + np.arange(count.sum())]] = True
+        return found
 
 
 class Best:
@@ -147,19 +146,21 @@ class Best:
 
 
 def probe(shard: Shard, codes: Codes, vector: np.ndarray, code: np.ndarray, uid: int, best: Best) -> int:
-    """Add what the shard has within the radius, growing the substring radius until it is covered; rows compared."""
+    """Add what the shard has within the radius, growing the substring radius until it is covered; rows compared.
+
+    With k rows known from earlier shards the first step covers their radius at once.
+    """
     norm = float(np.linalg.norm(vector))
-    apart = [np.bitwise_count(values ^ code[at]) for at, (values, _, _) in enumerate(shard.tables)]
+    apart, substrings = shard.apart(code), len(code)
     seen = shard.uids == uid
     waiting, bits = np.zeros(0, np.int64), np.zeros(0, np.int64)
     compared = 0
-    for step in range(SUBSTRING + 1):
-        covered = len(apart) * (step + 1) - 1
-        fresh = np.zeros(len(seen), bool)
-        for at, bits_apart in enumerate(apart):
-            fresh[shard.bucket_rows(at, np.flatnonzero(bits_apart == step))] = True
-        found = np.flatnonzero(fresh & ~seen)
-        seen |= fresh
+    known = codes.radius(best.scores[-1], norm) if math.isfinite(best.scores[-1]) else 0
+    for step in range(known // substrings, SUBSTRING + 1):
+        covered = substrings * (step + 1) - 1
+        probed = shard.holding(np.flatnonzero(apart <= step))
+        found = np.flatnonzero(probed & ~seen)
+        seen |= probed
         waiting = np.append(waiting, found)
         bits = np.append(bits, np.bitwise_count(shard.codes[found] ^ code).sum(axis=1, dtype=np.int64))
         within = bits <= min(covered, codes.radius(best.scores[-1], norm))
