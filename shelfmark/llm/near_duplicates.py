@@ -4,17 +4,20 @@ Two permutations of the hash values give all signature coordinates: the first sc
 second, shifted circularly by k, orders them for coordinate k, and the smallest value is kept.  Bands of coordinates
 propose documents, and the full shingle sets confirm them.
 
-Documents with equal sets are one node from the start, so copies never meet in pairs.  Nodes that share a band are
-compared with one leader of the band first; what that links is merged, and only nodes of a band that are still apart
-are compared with its other nodes.  A band whose nodes are linked thus costs about one comparison each; one with many
-nodes that are similar but not linked costs more, up to all its pairs, since no link may be lost.
+Documents with equal sets are one node from the start, so copies never meet in pairs.  Nodes that share a band go to one
+task, which compares them twice: sketches of the signatures, one byte a coordinate, name the nodes that have a
+promising partner there and in no earlier band, and only their full sets are sent and intersected.  Both steps give at
+most one row per node and band, however many of its nodes are similar without being linked.  A band of very many nodes
+or bytes does not go to one task: its nodes are compared with leaders of the band first, what that links is merged, and
+nodes still apart are compared in joins.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +38,10 @@ _REMEMBERED = 300_000
 _PAIRS_PER_NODE = 20
 _LEADER_ROUNDS = 6
 
-_SIGNED_DDL = "doc_id bigint, n bigint, set_key string, bands array<bigint>"
-_SETS_DDL = "set_key string, n bigint, shingles binary"
+_SIGNED_DDL = "doc_id bigint, digest binary, n bigint, set_key string, bands array<bigint>"
+_SETS_DDL = "set_key string, n bigint, shingles binary, sketch binary, bands array<bigint>"
+_BAND_NODES = 4096  # nodes and bytes of sets of a band that one task compares
+_BAND_BYTES = 64 << 20
 
 
 def bands_for(percent: int, rows: int = ROWS, missed: float = MISSED) -> int:
@@ -130,31 +135,146 @@ def _key(values: np.ndarray) -> str | None:
 def _signed(docs: DataFrame, bands: int) -> DataFrame:
     def sign(batches):
         for part in all_slices(batches, 1, _SLICE_BYTES):
-            sets = [shingle_set(t) for t in as_bytes(part.column(1))]
+            texts = as_bytes(part.column(1))
+            sets = [shingle_set(t) for t in texts]
             full = [s for s in sets if len(s)]
             keys = iter(band_keys(signatures(full, bands * ROWS), bands).tolist())
             columns = [
-                part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(_key, sets), pa.string()),
+                part.column(0), pa.array([md5(t).digest() for t in texts], pa.binary()),
+                pa.array([len(s) for s in sets], pa.int64()), pa.array(map(_key, sets), pa.string()),
                 pa.array([next(keys) if len(s) else [] for s in sets], pa.list_(pa.int64())),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "set_key", "bands"])
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "n", "set_key", "bands"])
 
     return stored(docs.select("doc_id", "text").mapInArrow(sign, _SIGNED_DDL), "signatures")
 
 
-def _sets(docs: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, bands: int) -> DataFrame:
     def build(batches):
         for part in all_slices(batches, 1, _SLICE_BYTES):
-            sets = [shingle_set(t) for t in as_bytes(part.column(1))]
+            sets = [s for s in (shingle_set(t) for t in as_bytes(part.column(1))) if len(s)]
+            signed = signatures(sets, bands * ROWS)
             columns = [
                 pa.array(map(_key, sets), pa.string()), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([s.tobytes() for s in sets], pa.binary()),
+                pa.array([row.tobytes() for row in signed.astype(np.uint8)], pa.binary()),
+                pa.array(band_keys(signed, bands).tolist(), pa.list_(pa.int64())),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["set_key", "n", "shingles"])
+            yield pa.RecordBatch.from_arrays(columns, names=["set_key", "n", "shingles", "sketch", "bands"])
 
     return docs.select("doc_id", "text").mapInArrow(build, _SETS_DDL)
 
 
+def least_agreement(percent: int, coordinates: int, missed: float = MISSED) -> int:
+    """Coordinates in which a pair at the threshold agrees at least, but for the given chance."""
+    share, below = percent / 100, 0.0
+    for agreed in range(coordinates + 1):
+        below += math.comb(coordinates, agreed) * share**agreed * (1 - share) ** (coordinates - agreed)
+        if below > missed:
+            return agreed
+    return coordinates
+
+
+class _Band:
+    """Rows of whole bands, sorted by band: which pairs of a band are worth an intersection."""
+
+    def __init__(self, table: pa.Table, percent: int):
+        column = lambda name: table[name].combine_chunks()
+        self.bucket, self.nid, self.n = (np.asarray(column(name)) for name in ("bucket", "nid", "n"))
+        self.bands = np.asarray(column("bands").flatten()).reshape(len(self.nid), -1)
+        self.sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(len(self.nid), -1)
+        self.percent, self.least = percent, least_agreement(percent, self.sketch.shape[1])
+
+    def promising(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of pairs whose sizes fit, whose sketches agree enough, and that share no earlier band."""
+        gap = 1
+        while True:
+            left = np.flatnonzero(self.bucket[:-gap] == self.bucket[gap:]) if gap < len(self.bucket) else np.empty(0, np.int64)
+            if not len(left):
+                return
+            small, large = np.minimum(self.n[left], self.n[left + gap]), np.maximum(self.n[left], self.n[left + gap])
+            left = left[100 * small >= self.percent * large]
+            for at in range(0, len(left), 8192):
+                some = left[at : at + 8192]
+                some = some[(self.sketch[some] == self.sketch[some + gap]).sum(axis=1) >= self.least]
+                first = (self.bands[some] == self.bands[some + gap]).argmax(axis=1)
+                some = some[self.bands[some, first] == self.bucket[some]]
+                yield some, some + gap
+            gap += 1
+
+
+class Groups:
+    """What links join among the nodes a task has at hand."""
+
+    def __init__(self, nid: np.ndarray):
+        self.nid, self.root = nid, list(range(len(nid)))
+
+    def top(self, at: int) -> int:
+        while self.root[at] != at:
+            self.root[at] = self.root[self.root[at]]
+            at = self.root[at]
+        return at
+
+    def join(self, i: int, j: int) -> None:
+        a, b = sorted((self.top(i), self.top(j)), key=lambda at: self.nid[at])
+        self.root[b] = a
+
+    def links(self) -> pa.RecordBatch:
+        """(a, b): each joined node b and the smallest node a of its group."""
+        tops = np.array([self.top(at) for at in range(len(self.root))], np.int64)
+        joined = tops != np.arange(len(tops))
+        return pa.RecordBatch.from_arrays([pa.array(self.nid[tops[joined]]), pa.array(self.nid[joined])], names=["a", "b"])
+
+
+def whole_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole bands: the last band of a batch waits for the next one."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        bucket = np.asarray(batch.column(0))
+        last = int(np.flatnonzero(bucket != bucket[-1])[-1]) + 1 if (bucket != bucket[-1]).any() else 0
+        if held and (last or bucket[0] != held[-1].column(0)[0].as_py()):
+            yield pa.Table.from_batches([*held, batch.slice(0, last)])
+            held = []
+        elif last:
+            yield pa.Table.from_batches([batch.slice(0, last)])
+        held.append(batch.slice(last))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _in_bands(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) among the nodes of each band that join its linked nodes, found by the task that has the band."""
+
+    def point_out(batches):
+        for table in whole_bands(batches):
+            rows = _Band(table, percent)
+            found = np.zeros(len(rows.nid), bool)
+            for left, right in rows.promising():
+                found[left] = found[right] = True
+            yield pa.RecordBatch.from_arrays([pa.array(rows.bucket[found]), pa.array(rows.nid[found])], names=["bucket", "nid"])
+
+    def link(batches):
+        for table in whole_bands(batches):
+            rows, texts = _Band(table, percent), table["shingles"].combine_chunks()
+            groups = Groups(rows.nid)
+            for left, right in rows.promising():
+                for i, j in zip(left.tolist(), right.tolist()):
+                    if groups.top(i) != groups.top(j):
+                        x, y = (np.frombuffer(texts[at].as_buffer(), np.uint64) for at in (i, j))
+                        common = len(np.intersect1d(x, y, assume_unique=True))
+                        if 100 * common >= percent * (len(x) + len(y) - common):
+                            groups.join(i, j)
+            yield groups.links()
+
+    about = sets.select("nid", "n", "sketch", "bands")
+    near = buckets.select("bucket", "nid").join(about, "nid").select("bucket", "nid", "n", "sketch", "bands")
+    wanted = near.repartition("bucket").sortWithinPartitions("bucket", "nid").mapInArrow(point_out, "bucket bigint, nid bigint")
+    full = stored(wanted, "promising").join(sets, "nid").select("bucket", "nid", "n", "sketch", "bands", "shingles")
+    return full.repartition("bucket").sortWithinPartitions("bucket", "nid").mapInArrow(link, "a bigint, b bigint")
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
 
@@ -182,20 +302,22 @@ def _pair(left, right):
     return F.least(left, right).alias("a"), F.greatest(left, right).alias("b")
 
 
-def linked(buckets: DataFrame, confirmed: Callable[[DataFrame], DataFrame], fits: Column) -> DataFrame:
+def linked(buckets: DataFrame, confirmed: Callable[[DataFrame], DataFrame], fits: Column, known: DataFrame | None = None) -> DataFrame:
     """(nid, root) of what belongs together among the nodes of ``buckets`` (bucket, nid, n).
 
+    ``known`` are links (a, b) found elsewhere, stored.
+
     ``fits`` says of sizes n and m whether a pair is worth a test, and ``confirmed`` keeps the pairs (a, b) that are
     links, stored.
     """
     spark = buckets.sparkSession
-    links = tested = None
-    roots = spark.createDataFrame([], "nid bigint, root bigint")
+    links, tested = known, None
+    roots = connected(links) if links is not None else spark.createDataFrame([], "nid bigint, root bigint")
     for turn in range(_LEADER_ROUNDS + 1):
-        known = buckets.join(roots, "nid", "left").withColumn("root", F.coalesce("root", "nid"))
-        spread = known.groupBy("bucket").agg(F.min("root").alias("_low"), F.max("root").alias("_high"))
+        rooted = buckets.join(roots, "nid", "left").withColumn("root", F.coalesce("root", "nid"))
+        spread = rooted.groupBy("bucket").agg(F.min("root").alias("_low"), F.max("root").alias("_high"))
         parted = spread.filter(F.col("_low") != F.col("_high")).select("bucket")
-        open_ = stored(known.join(parted, "bucket"), "buckets")
+        open_ = stored(rooted.join(parted, "bucket"), "buckets")
         counts = open_.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("_n"))
         sizes = counts.groupBy("bucket").agg(F.sum("_n").alias("_all"), F.max(F.struct("_n", "root")).alias("_main"))
         sizes = sizes.select("bucket", "_all", F.col("_main.root").alias("_root"), F.col("_main._n").alias("_n"))
@@ -229,17 +351,22 @@ def linked(buckets: DataFrame, confirmed: Callable[[DataFrame], DataFrame], fits
     return roots
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """One row per document row: (doc_id, n_shingles, component_id, kept).
+def near_duplicates(docs: DataFrame, percent: int = 80, band_nodes: int = _BAND_NODES) -> DataFrame:
+    """One row per document row: (doc_id, n_shingles, component_id, kept, digest, group_id).
 
     Documents are linked when their sets of five-word shingles have ``100 * common >= percent * union``.
     ``component_id`` is the smallest id that links lead to, the document's own included, and ``kept`` says that it is
     the document's own.  A text without words has the empty set and no link.  A document without an id takes part in
     no link: its component is null and it is kept.  Rows that repeat an id and a text are alike in the result.
+    ``digest`` is the MD5 of the row's text; ``group_id`` tells groups apart where an id repeats with other texts, so that two
+    groups have the same smallest id, and is null for a row without words or id.  Bands of
+    more than ``band_nodes`` different sets are compared in joins instead of by one task.
 
-    The bands miss a pair at the threshold with a chance of one in a million, and pairs above it more rarely.
+    The bands miss a pair at the threshold with a chance of one in a million, the sketches with another one, and pairs
+    above the threshold more rarely.
     """
-    signed = _signed(docs, bands_for(percent))
+    bands = bands_for(percent)
+    signed = _signed(docs, bands)
     usable = signed.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     classes = usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"))
     nodes, salt = None, 0
@@ -256,17 +383,24 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     wanted = buckets.select("nid").distinct().join(nodes.select("nid", "rep", "set_key"), "nid")
     texts = docs.select("doc_id", "text").join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = _sets(texts).join(wanted.select("set_key", "nid"), "set_key").dropDuplicates(["nid"]).select("nid", "shingles")
+    sets = _sets(texts, bands).join(wanted.select("set_key", "nid"), "set_key").dropDuplicates(["nid"]).drop("set_key")
     sets = stored(sets, "sets")
-    roots = linked(buckets, lambda pairs: _confirmed(pairs, sets, percent), _fits(percent))
+    sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n"), (8 * F.sum("n")).alias("_bytes"))
+    in_joins = stored(sizes.filter((F.col("_n") > band_nodes) | (F.col("_bytes") > _BAND_BYTES)).select("bucket"), "large")
+    links = stored(_in_bands(buckets.join(in_joins, "bucket", "left_anti"), sets, percent), "links")
+    large = buckets.join(in_joins, "bucket")
+    roots = linked(large, lambda pairs: _confirmed(pairs, sets, percent), _fits(percent), links)
 
     rooted = nodes.join(roots, "nid").select("set_key", "rep", "root")
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    moved = rooted.join(least, "root").select("set_key", "component_id")
-    lowest = nodes.select("set_key", "rep").join(moved, "set_key", "left")
-    lowest = one_per_key(lowest, ["set_key"], F.min(F.coalesce("component_id", "rep")).alias("component_id"))
-    members = signed.select("doc_id", F.col("n").alias("n_shingles"), "set_key")
+    moved = rooted.join(least, "root").select("set_key", "component_id", "root")
+    lowest = nodes.select("set_key", "rep", "nid").join(moved, "set_key", "left")
+    lowest = one_per_key(
+        lowest, ["set_key"], F.min(F.coalesce("component_id", "rep")).alias("component_id"), F.min(F.coalesce("root", "nid")).alias("group_id")
+    )
+    members = signed.select("doc_id", F.col("n").alias("n_shingles"), "set_key", "digest")
     found = members.join(lowest, "set_key", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
+    named = F.col("doc_id").isNotNull()
+    component = F.when(named, F.coalesce("component_id", "doc_id")).alias("component_id")
     kept = F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")
-    return found.select("doc_id", "n_shingles", component, kept)
+    return found.select("doc_id", "n_shingles", component, kept, "digest", F.when(named, F.col("group_id")).alias("group_id"))

@@ -34,6 +34,9 @@ def plain(rows, percent):
     return sorted(((i, len(s), label.get(i), i is None or label[i] == i) for i, s in sets), key=str)
 
 
+COLUMNS = ["doc_id", "n_shingles", "component_id", "kept"]
+
+
 def _rows():
     rng = random.Random(11)
     vocabulary = [f"w{i}é" for i in range(500)]
@@ -60,6 +63,46 @@ def test_query_equals_comparing_all(spark, docs, folder, monkeypatch, limit):
     assert sorted(map(tuple, found.collect()), key=str) == plain(rows, 85)
 
 
+@pytest.mark.parametrize("band_nodes", [0, 3])
+def test_bands_compared_in_joins_give_the_same(spark, docs, band_nodes):
+    rows = _rows()
+    found = nd.near_duplicates(docs(*rows), 85, band_nodes).select(COLUMNS)
+    assert sorted(map(tuple, found.collect()), key=str) == plain(rows, 85)
+
+
+def test_many_similar_texts_that_are_not_linked(spark, docs):
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(3000)}" for _ in range(300)]
+    rows = []
+    for i in range(500):  # most pairs lie between 0.5 and 0.85, some above
+        words = list(base)
+        for at in rng.sample(range(300), rng.choice([2, 6, 9, 12])):
+            words[at] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    found = nd.near_duplicates(docs(*rows), 85).select(COLUMNS)
+    expected = plain(rows, 85)
+    assert 1 < len({c for _, _, c, _ in expected}) < 500
+    assert sorted(map(tuple, found.collect()), key=str) == expected
+
+
+def test_sketches_rarely_miss_a_pair():
+    assert nd.least_agreement(85, 180) == 128 and nd.least_agreement(100, 10) == 10
+    draw = np.random.default_rng(3)
+    agreed = draw.binomial(180, 0.85, 200_000)
+    assert (agreed < nd.least_agreement(85, 180)).sum() <= 3
+
+
+def test_whole_bands_across_batches():
+    import pyarrow as pa
+
+    keys = np.sort(np.random.default_rng(4).integers(0, 40, 300))
+    for size in (1, 7, 64, 300):
+        batches = [pa.RecordBatch.from_arrays([pa.array(keys[at : at + size])], names=["bucket"]) for at in range(0, 300, size)]
+        tables = list(nd.whole_bands(iter(batches)))
+        seen = [set(t["bucket"].to_pylist()) for t in tables]
+        assert sum(t.num_rows for t in tables) == 300 and sum(map(len, seen)) == len(set().union(*seen))
+
+
 def test_empty_table(spark, docs):
     assert nd.near_duplicates(docs()).count() == 0
 
