@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions.media_dates import moment, names_photo_date, photo_fields, video_fields, weekday_fits
@@ -38,20 +38,25 @@ def exif_normalize(files: DataFrame, tags: DataFrame) -> DataFrame:
     "gpsLatitudeD" and "gpsLongitudeD".  A file without tags gives a row of NULLs, so it is not tried again; a file
     with a date that cannot be read gives none.  The point 0, 0 counts as no coordinates.
     """
-    dates = _dates(tags)
+    media = files.filter(F.col("f_mime_type_java").isin(PHOTO, VIDEO))
+    # The few tags of a file are one list; a maximum per tag would sort all tags of all files.
+    tag = F.struct("tag", "value", "moment", "broken")
+    listed = _dates(tags).join(media.select("id"), "id", "left_semi").groupBy("id").agg(F.collect_list(tag).alias("tags"))
+
+    def most(name: str, field: str) -> Column:
+        return F.array_max(F.transform(F.filter("tags", lambda t: t["tag"] == name), lambda t: t[field]))
+
+    def any_broken(names) -> Column:
+        return F.exists("tags", lambda t: t["broken"] & t["tag"].isin(*names))
+
     texts = {**PHOTO_TEXTS, LATITUDE: "lat", LONGITUDE: "lon"}
-    value = F.col("value")
-    per_file = (
-        dates.groupBy("id")
-        .agg(
-            *[F.max(F.when(F.col("tag") == t, F.col("moment"))).alias(f"photo_{c}") for t, c in PHOTO_DATES.items()],
-            *[F.max(F.when(F.col("tag") == t, F.col("moment"))).alias(f"video_{c}") for t, c in VIDEO_DATES.items()],
-            *[F.max(F.when(F.col("tag") == t, value)).alias(c) for t, c in texts.items()],
-            F.max(F.col("broken") & F.col("tag").isin(*PHOTO_DATES)).alias("photo_broken"),
-            F.max(F.col("broken") & F.col("tag").isin(*VIDEO_DATES)).alias("video_broken"),
-        )
+    per_file = listed.select(
+        "id", *[most(t, "moment").alias(f"photo_{c}") for t, c in PHOTO_DATES.items()],
+        *[most(t, "moment").alias(f"video_{c}") for t, c in VIDEO_DATES.items()],
+        *[most(t, "value").alias(c) for t, c in texts.items()],
+        any_broken(PHOTO_DATES).alias("photo_broken"), any_broken(VIDEO_DATES).alias("video_broken"),
     )
-    rows = files.filter(F.col("f_mime_type_java").isin(PHOTO, VIDEO)).join(per_file, "id", "left")
+    rows = media.join(per_file, "id", "left")
     photo = F.col("f_mime_type_java") == PHOTO
     broken = F.when(photo, F.col("photo_broken")).otherwise(F.col("video_broken"))
     columns = {c: F.when(photo, F.col(f"photo_{c}")) for c in PHOTO_DATES.values()}

@@ -38,14 +38,16 @@ def no_backup_total(cards: DataFrame, device: str, volumes: Sequence[str]) -> Da
     return _without_backup(cards, device, volumes).agg(F.count(F.lit(1)).alias("files"))
 
 
-def _reliable_device(unreliable: Sequence[str]) -> Column:
-    kept = F.when(~F.col("device_uid").isin(*unreliable), F.col("device_uid")) if unreliable else F.col("device_uid")
-    return F.min(kept).alias("device_uid")
+def _held(cards: DataFrame, unreliable: Sequence[str], not_view: Sequence[str], few: DataFrame) -> DataFrame:
+    """``few`` with one reliable device that holds the content; rows with none or one not to be viewed drop.
 
-
-def _held(groups: DataFrame, not_view: Sequence[str], few: DataFrame) -> DataFrame:
-    """``few`` with one reliable device that holds the content; rows with none or one not to be viewed drop."""
-    holder = one_per_key(groups, ["sha256"], F.min("device_uid").alias("device_uid")).filter("device_uid IS NOT NULL")
+    Copies are cut to distinct (content, device) first, by hash, so the minimum of texts, which Spark sorts for, meets
+    those pairs only.
+    """
+    hashed = cards.filter("sha256 IS NOT NULL")
+    reliable = hashed.filter(~F.col("device_uid").isin(*unreliable)) if unreliable else hashed
+    pairs = reliable.select("sha256", "device_uid").distinct()
+    holder = one_per_key(pairs, ["sha256"], F.min("device_uid").alias("device_uid"))
     if not_view:
         holder = holder.filter(~F.col("device_uid").isin(*not_view))
     return few.join(holder, "sha256")
@@ -57,8 +59,7 @@ def few_copies_by_category(
 ) -> DataFrame:
     """Categorised contents with fewer than ``copies`` copies, and the first reliable device that holds the content."""
     groups = (
-        cards.filter("sha256 IS NOT NULL").groupBy("sha256", "f_name")
-        .agg(F.count(F.lit(1)).alias("n"), _reliable_device(unreliable))
+        cards.filter("sha256 IS NOT NULL").groupBy("sha256", "f_name").agg(F.count(F.lit(1)).alias("n"))
     )
     few = (
         groups.filter(F.col("n") < copies).select("sha256", "f_name")
@@ -66,7 +67,7 @@ def few_copies_by_category(
         .join(rules.select("id", "category_type", "description"), "id")
     )
     return (
-        _held(groups, not_view, few)
+        _held(cards, unreliable, not_view, few)
         .select("sha256", "f_name", "category_type", "description", "device_uid")
         .orderBy("sha256", "f_name").limit(rows)
     )
@@ -81,14 +82,12 @@ def few_copies_recent(
     The report takes all files; with ``as_of`` only those since the start of that month a year before.
     """
     hashed = cards.filter("sha256 IS NOT NULL")
-    groups = hashed.groupBy("sha256", "f_name", "f_last_modified_date").agg(
-        F.count(F.lit(1)).alias("n"), _reliable_device(unreliable)
-    )
+    groups = hashed.groupBy("sha256", "f_name", "f_last_modified_date").agg(F.count(F.lit(1)).alias("n"))
     few = groups.filter(F.col("n") < copies).select("sha256", "f_name", "f_last_modified_date")
     if as_of is not None:
         few = few.filter(F.col("f_last_modified_date") >= F.date_trunc("month", as_of) - F.make_ym_interval(F.lit(1)))
     return (
-        _held(groups, not_view, few)
+        _held(cards, unreliable, not_view, few)
         .select("sha256", "f_name", "device_uid", "f_last_modified_date")
         .orderBy(F.desc("f_last_modified_date"), "sha256", "f_name").limit(rows)
     )

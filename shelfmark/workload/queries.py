@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions.text import kilobytes
 from shelfmark.operators import changes, content, metadata, moves, rules, snapshot, stored, thumbnails
-from shelfmark.plans import categories, copies, devices, folders, media, search
+from shelfmark.plans import categories, copies, devices, folders, media, name_index, search
 from shelfmark.session import shared_dir
 from shelfmark.sources import listing, names, rule_files, volumes
 from shelfmark.streaming import catalogue as streams
@@ -829,6 +829,15 @@ def search_names(c: Catalogue) -> DataFrame:
     return search.search_names(c.file_card, "IMG ring", 500)
 
 
+@query("""
+SELECT DISTINCT f_name FROM file_card WHERE f_name_lc LIKE '%img%ring%' ORDER BY f_name LIMIT 100""")
+def search_names_indexed(c: Catalogue) -> DataFrame:
+    """The same search through an index of three-letter pieces, which is built first."""
+    root = shared_dir(c.spark, "names")
+    name_index.write_name_index(c.file_card, root)
+    return name_index.search_index(c.spark, root, "IMG ring", 500)
+
+
 _HITS = """
 SELECT DISTINCT f_name_lc, f_name, f_parent, sha256, label_v FROM file_card LEFT JOIN device ON uid = device_uid"""
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from conftest import day, rows
 from shelfmark.operators import changes
-from shelfmark.plans import categories, copies, devices, folders, media, search
+from shelfmark.plans import categories, copies, devices, folders, media, name_index, search
 
 
 def test_device_index(make):
@@ -245,6 +245,32 @@ def test_search_names(make):
     assert search.search_names(many, "n", 500).count() == 100
 
 
+@pytest.mark.parametrize(
+    "text", ["RED car", "red", "car.j", "r", "", "ed", "e_ c", "%car", "no such name", "\\", "a\\b", "ünï", "re  ca", "jpgx"]
+)
+def test_search_through_the_index_gives_the_same(spark, make, tmp_path_factory, text):
+    names = ["My Red Car.jpg", "Red Car", "red-car.png", "ca", "", "R", "a\\b\\c", "ÜNÏcode.JPG", "recap", "jpg", "xjpg.jpg"]
+    cards = make.cards(*[{"f_name": n, "f_parent": f"{p}/"} for n in names for p in "ab"])
+    root = str(tmp_path_factory.mktemp("index") / "names")
+    name_index.write_name_index(cards, root)
+    for limit in (2, 500):
+        expected = [r[0] for r in search.search_names(cards, text, limit).collect()]
+        assert [r[0] for r in name_index.search_index(spark, root, text, limit).collect()] == expected
+
+
+def test_search_through_the_index_reads_one_piece(spark, make, tmp_path):
+    cards = make.cards(*[{"f_name": f"holiday {i:04d}.jpg"} for i in range(400)], {"f_name": "xylophone holiday.jpg"})
+    name_index.write_name_index(cards, f"{tmp_path}/names")
+    found = name_index.search_index(spark, f"{tmp_path}/names", "xylo holiday")
+    assert [r[0] for r in found.collect()] == ["xylophone holiday.jpg"]
+    from conftest import plan_of
+
+    assert "EqualTo(piece,lop)" in plan_of(found) or "EqualTo(piece,xyl)" in plan_of(found) or "EqualTo(piece,ylo)" in plan_of(found)
+    assert name_index.pieces_of_text("xylo holiday") == sorted({"xyl", "ylo", "hol", "oli", "lid", "ida", "day"})
+    listed = spark.read.parquet(f"{tmp_path}/names/postings").filter("piece = 'xyl'")
+    assert listed.count() == 1  # of more than 5,000 postings
+
+
 def test_search_page(make):
     devs = make.devices({"uid": "d1", "label_v": "L1"})
     cards = make.cards(
