@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,8 +36,11 @@ def extension(name: Column) -> Column:
     return F.when(dot_at > 1, tail)
 
 
-def mime_type(ext: Column) -> Column:
-    pairs = [F.lit(part) for item in sorted(MIME_TYPES.items()) for part in item]
+def mime_type(ext: Column, types: Mapping[str, str] = MIME_TYPES) -> Column:
+    """Media type by lower-case extension, NULL for an extension that is not listed."""
+    if not types:
+        return F.lit(None).cast("string")
+    pairs = [F.lit(part) for item in sorted(types.items()) for part in item]
     return F.try_element_at(F.create_map(*pairs), F.lower(ext))
 
 

@@ -96,6 +96,9 @@ def write_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> None:
     df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).saveAsTable(table)
 
 
-def write_script(lines: DataFrame, path: str) -> None:
-    """A text script as a single file.  The lines pass one task, so this fits lists a person will run."""
-    lines.coalesce(1).write.mode("errorifexists").text(path)
+def write_script(lines: DataFrame, path: str, replace: bool = False) -> None:
+    """A text script as a single file; ``replace`` puts it in the place of an earlier one.
+
+    The lines pass one task, so this fits lists a person will run.
+    """
+    lines.coalesce(1).write.mode("overwrite" if replace else "errorifexists").text(path)

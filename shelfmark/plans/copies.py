@@ -124,6 +124,15 @@ def copies_on_device(
     )
 
 
+def _not_catalogued(names: DataFrame, cards: DataFrame) -> DataFrame:
+    """(f_name, n) of the photos and videos on a name list, listed n times more often than the catalogue has them."""
+    photos = names.filter(F.col("f_name").startswith("IMG_") | F.col("f_name").startswith("VID_"))
+    listed = photos.groupBy("f_name").agg(F.count(F.lit(1)).alias("listed"))
+    known = cards.groupBy("f_name").agg(F.count(F.lit(1)).alias("known"))
+    missing = F.col("listed") - F.coalesce("known", F.lit(0))
+    return listed.join(known, "f_name", "left").select("f_name", missing.alias("n")).filter("n > 0")
+
+
 def names_not_catalogued(
     names: DataFrame, cards: DataFrame,
     copy_from: str = settings.COPY_FROM, copy_to: str = settings.COPY_TO,
@@ -132,13 +141,13 @@ def names_not_catalogued(
 
     A name counts as often as it is listed, and each catalogued file takes one listing away.
     """
-    photos = names.filter(F.col("f_name").startswith("IMG_") | F.col("f_name").startswith("VID_"))
-    listed = photos.groupBy("f_name").agg(F.count(F.lit(1)).alias("listed"))
-    known = cards.groupBy("f_name").agg(F.count(F.lit(1)).alias("known"))
-    missing = F.col("listed") - F.coalesce("known", F.lit(0))
-    left = listed.join(known, "f_name", "left").select("f_name", missing.alias("n"))
     command = F.concat(F.lit(f"adb pull {copy_from}"), "f_name", F.lit(f" {copy_to}"), "f_name")
-    return repeated(left, "n").select("f_name", command.alias("command"))
+    return repeated(_not_catalogued(names, cards), "n").select("f_name", command.alias("command"))
+
+
+def names_not_catalogued_total(names: DataFrame, cards: DataFrame) -> DataFrame:
+    """How many commands ``names_not_catalogued`` gives."""
+    return _not_catalogued(names, cards).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("commands"))
 
 
 def duplicate_content_overview(cards: DataFrame) -> DataFrame:

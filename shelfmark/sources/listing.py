@@ -6,7 +6,7 @@ directory's path ends with "/".  Directories need no row of their own when a fil
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from shelfmark.functions import paths
 from shelfmark.operators.groups import one_per_key
 from shelfmark.operators.prefixes import with_prefix
-from shelfmark.settings import EXCLUDED_DIRS, EXCLUDED_FILES
+from shelfmark.settings import EXCLUDED_DIRS, EXCLUDED_FILES, MIME_TYPES
 
 
 def listing_of_folder(spark: SparkSession, root: str, device: str) -> DataFrame:
@@ -76,10 +76,13 @@ def scan_dirs(
     return pairs.filter(~hidden).select("device_uid", "f_parent").distinct()
 
 
-def scan_files(listing: DataFrame, excluded: Sequence[str] = EXCLUDED_FILES) -> DataFrame:
+def scan_files(
+    listing: DataFrame, excluded: Sequence[str] = EXCLUDED_FILES, mime_types: Mapping[str, str] = MIME_TYPES
+) -> DataFrame:
     """File cards of the listed files, without a content hash.
 
-    Names on the list and files with the extension "class" stay out.
+    Names on the list and files with the extension "class" stay out.  ``mime_types`` gives the media type by lower-case
+    extension; pass ``{**settings.MIME_TYPES, "heic": "image/heic"}`` for more of them.
     """
     name = paths.base_name(F.col("path"))
     ext = paths.extension(name)
@@ -96,7 +99,7 @@ def scan_files(listing: DataFrame, excluded: Sequence[str] = EXCLUDED_FILES) ->
         F.col("creation_time").alias("f_creation_date"),
         F.col("modification_time").alias("f_last_modified_date"),
         F.col("length").alias("f_size"),
-        paths.mime_type(ext).alias("f_mime_type_java"),
+        paths.mime_type(ext, mime_types).alias("f_mime_type_java"),
         F.lit(None).cast("string").alias("sha256"),
         F.lower(name).alias("f_name_lc"),
     )

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions.text import kilobytes
 from shelfmark.operators import changes, content, metadata, moves, rules, snapshot, stored, thumbnails
-from shelfmark.plans import categories, copies, devices, folders, media, name_index, search
+from shelfmark.plans import categories, copies, devices, folder_totals, folders, media, name_index, search
 from shelfmark.session import shared_dir
-from shelfmark.sources import listing, names, rule_files, volumes
+from shelfmark.sources import listing, names, rule_files, tables, volumes
 from shelfmark.streaming import catalogue as streams
 from shelfmark.streaming import worklist
 from shelfmark.workload.oracle import with_tables
@@ -59,7 +59,10 @@ def _joined(name: str) -> Column:
 
 @query(f"SELECT {_CARD_SQL} FROM file_card")
 def table_scan(c: Catalogue) -> DataFrame:
-    return c.file_card
+    """Written as a stored catalogue and scanned from there with its declared types."""
+    root = shared_dir(c.spark, "table")
+    changes.write_file_cards(c.file_card, f"{root}/file_card")
+    return tables.read_table(c.spark, root, "file_card")
 
 
 @query("SELECT device_uid, f_parent FROM scan_dir")
@@ -633,6 +636,31 @@ def names_not_catalogued(c: Catalogue) -> DataFrame:
     return copies.names_not_catalogued(c.name_list, c.file_card)
 
 
+_COMMANDS = """
+WITH listed AS (
+  SELECT f_name, count(*) AS n FROM name_list WHERE regexp_matches(f_name, '^(IMG|VID)_') GROUP BY f_name
+), known AS (SELECT f_name, count(*) AS k FROM file_card GROUP BY f_name
+), missing AS (SELECT f_name, n - coalesce(k, 0) AS times FROM listed LEFT JOIN known USING (f_name) WHERE n > coalesce(k, 0))"""
+
+
+@query(f"{_COMMANDS} SELECT CAST(sum(times) AS BIGINT) AS commands FROM missing")
+def names_not_catalogued_total(c: Catalogue) -> DataFrame:
+    return copies.names_not_catalogued_total(c.name_list, c.file_card)
+
+
+@query(f"""{_COMMANDS}
+SELECT value, count(*) AS lines FROM (
+  SELECT 'adb pull /sdcard/DCIM/Camera/' || f_name || ' /tmp/cp_back/' || f_name AS value, unnest(range(times)) FROM missing
+) GROUP BY value""")
+def copy_script(c: Catalogue) -> DataFrame:
+    """The commands as a text script, written twice over and read back."""
+    path = f"{shared_dir(c.spark, 'script')}/copy"
+    commands = copies.names_not_catalogued(c.name_list, c.file_card).select("command")
+    changes.write_script(commands.limit(0), path)
+    changes.write_script(commands, path, replace=True)
+    return c.spark.read.text(path).groupBy("value").agg(F.count(F.lit(1)).alias("lines"))
+
+
 @query("""
 SELECT f_name_lc, sha256, 0 AS part, count(*) AS files, string_agg(DISTINCT device_uid, ', ' ORDER BY device_uid) AS devices,
   string_agg(DISTINCT f_parent, ', ' ORDER BY f_parent) AS folders
@@ -800,6 +828,35 @@ def folders_at_depth(c: Catalogue) -> DataFrame:
     return folders.folders_at_depth(c.file_card, "dev-1", 3)
 
 
+def _totals(c: Catalogue) -> DataFrame:
+    """Totals of the catalogue before the scan, brought up to date by what the scan changes and back again."""
+    cards = _kept(c, c.file_card, "cards")
+    sums = lambda rows: folder_totals.folder_totals(rows, c.category_fc, c.category_rule)
+    early = cards.filter("f_size % 7 <> 3")
+    late = cards.filter("f_size % 7 = 3")
+    moved = folder_totals.merge_totals(sums(early), sums(late), sums(early.filter("f_parent LIKE 'A/%'")))
+    return folder_totals.merge_totals(_kept(c, moved, "totals"), sums(early.filter("f_parent LIKE 'A/%'")), sums(cards.limit(0)))
+
+
+def storage_by_folder_totals(c: Catalogue) -> DataFrame:
+    found = folder_totals.storage_from_totals(_totals(c), "dev-1", 1)
+    return found.withColumn("category_types", F.array_join("category_types", ", "))
+
+
+def explore_folder_totals(c: Catalogue) -> DataFrame:
+    found = folder_totals.explore_from_totals(_totals(c), "dev-1", "F", 3)
+    return found.withColumn("category_types", F.array_join("category_types", ", "))
+
+
+def folders_at_depth_totals(c: Catalogue) -> DataFrame:
+    return folder_totals.folders_from_totals(_totals(c), "dev-1", 3)
+
+
+for _build in (storage_by_folder_totals, explore_folder_totals, folders_at_depth_totals):  # the same rows from one table
+    query()(_build)
+    ORACLES[_build.__name__] = ORACLES[_build.__name__.removesuffix("_totals")]
+
+
 @query("""
 SELECT DISTINCT id, id AS text,
   CASE WHEN id = 'locked' THEN 'images/jstree/stop.png' WHEN id = 'N' THEN 'images/jstree/arrow_right.png' ELSE '' END AS icon,

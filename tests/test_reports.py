@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from conftest import day, rows
 from shelfmark.operators import changes
-from shelfmark.plans import categories, copies, devices, folders, media, name_index, search
+from shelfmark.plans import categories, copies, devices, folder_totals, folders, media, name_index, search
 
 
 def test_device_index(make):
@@ -311,3 +311,47 @@ def test_media(make):
     ]
     assert [r.f_name for r in media.images_of_folder(cards, "d1", "a/", rows=1).collect()] == ["b.jpg"]
     assert media.images_of_folder_total(cards, "d1", "a/").first()[0] == 2
+
+
+def _tree(make):
+    places = ["a/b/", "a/b/c/", "a/x_files/", "a/x_files", "", "b/", "a//", "/", "a/b"]
+    cards = make.cards(*[
+        {"f_parent": p, "f_name": f"{n}.jpg", "f_size": s, "sha256": h, "device_uid": d}
+        for p in places for d in ("d1", "d2") for n, s, h in [(1, 3 << 20, "A"), (2, 5, "B"), (3, 0, "B"), (4, None, None)]
+    ])
+    category = make.categories((1, "A", "1.jpg"), (2, "B", "2.jpg"), (1, "B", "other.jpg"), (9, "C", "c.jpg"))
+    return cards, category, make.rules({"id": 1, "category_type": "Photo"}, {"id": 2, "category_type": "Work"})
+
+
+def test_folder_totals_answer_every_depth(make):
+    cards, category, rules = _tree(make)
+    totals = folder_totals.folder_totals(cards, category, rules)
+    for depth in (1, 2, 3, 4, 6):
+        expected = folders.storage_by_folder(cards, category, rules, "d1", depth)
+        assert rows(folder_totals.storage_from_totals(totals, "d1", depth), *expected.columns) == rows(expected)
+        assert rows(folder_totals.folders_from_totals(totals, "d1", depth - 1)) == rows(folders.folders_at_depth(cards, "d1", depth - 1))
+    for value, depth in [("a", 2), ("b", 3), ("", 2), ("", 3), ("", 5), ("c", 4), ("none", 2)]:
+        expected = folders.explore_folder(cards, category, rules, "d2", value, depth)
+        assert rows(folder_totals.explore_from_totals(totals, "d2", value, depth), *expected.columns) == rows(expected)
+
+
+def test_folder_totals_follow_changes(make):
+    cards, category, rules = _tree(make)
+    sums = lambda df: folder_totals.folder_totals(df, category, rules)
+    gone, new = cards.filter("f_name = '1.jpg' OR f_parent = 'b/'"), cards.filter("device_uid = 'd2'").withColumn("f_parent", F.lit("n/"))
+    after = cards.join(gone.select("id"), "id", "left_anti").select(*cards.columns).unionByName(new)
+    merged = folder_totals.merge_totals(sums(cards), sums(new), sums(gone))
+    columns = merged.columns
+    key = lambda df: sorted(str(tuple(r)) for r in df.withColumn("size", F.coalesce("size", F.lit(0))).select(columns).collect())
+    assert key(merged) == key(sums(after))
+
+
+def test_more_media_types(spark, make):
+    from shelfmark.settings import MIME_TYPES
+    from shelfmark.sources import listing
+
+    seen = make.listing("d1", "a/x.HEIC", "a/y.jpg", "a/z")
+    known = lambda **more: rows(listing.scan_files(seen, **more), "f_name", "f_mime_type_java")
+    assert known() == [("x.HEIC", None), ("y.jpg", "image/jpeg"), ("z", None)]
+    assert known(mime_types={**MIME_TYPES, "heic": "image/heic"})[0] == ("x.HEIC", "image/heic")
+    assert known(mime_types={}) == [("x.HEIC", None), ("y.jpg", None), ("z", None)]
