@@ -38,16 +38,19 @@ def no_backup_total(cards: DataFrame, device: str, volumes: Sequence[str]) -> Da
     return _without_backup(cards, device, volumes).agg(F.count(F.lit(1)).alias("files"))
 
 
-def _held(cards: DataFrame, unreliable: Sequence[str], not_view: Sequence[str], few: DataFrame) -> DataFrame:
-    """``few`` with one reliable device that holds the content; rows with none or one not to be viewed drop.
+def _reliable_pairs(cards: DataFrame, unreliable: Sequence[str]) -> DataFrame:
+    """Distinct (sha256, device_uid) of hashed files on reliable devices.
 
-    Copies are cut to distinct (content, device) first, by hash, so the minimum of texts, which Spark sorts for, meets
-    those pairs only.
+    Copies are cut to these by hash, so the minimum of texts, which Spark sorts for, meets no more rows.
     """
     hashed = cards.filter("sha256 IS NOT NULL")
     reliable = hashed.filter(~F.col("device_uid").isin(*unreliable)) if unreliable else hashed
-    pairs = reliable.select("sha256", "device_uid").distinct()
-    holder = one_per_key(pairs, ["sha256"], F.min("device_uid").alias("device_uid"))
+    return reliable.select("sha256", "device_uid").distinct()
+
+
+def _held(pairs: DataFrame, not_view: Sequence[str], few: DataFrame) -> DataFrame:
+    """``few`` with one reliable device that holds the content; rows with none or one not to be viewed drop."""
+    holder = one_per_key(pairs, ["sha256"], F.min("device_uid").alias("device_uid")).filter("device_uid IS NOT NULL")
     if not_view:
         holder = holder.filter(~F.col("device_uid").isin(*not_view))
     return few.join(holder, "sha256")
@@ -67,7 +70,7 @@ def few_copies_by_category(
         .join(rules.select("id", "category_type", "description"), "id")
     )
     return (
-        _held(cards, unreliable, not_view, few)
+        _held(_reliable_pairs(cards, unreliable), not_view, few)
         .select("sha256", "f_name", "category_type", "description", "device_uid")
         .orderBy("sha256", "f_name").limit(rows)
     )
@@ -87,7 +90,7 @@ def few_copies_recent(
     if as_of is not None:
         few = few.filter(F.col("f_last_modified_date") >= F.date_trunc("month", as_of) - F.make_ym_interval(F.lit(1)))
     return (
-        _held(cards, unreliable, not_view, few)
+        _held(_reliable_pairs(cards, unreliable), not_view, few)
         .select("sha256", "f_name", "device_uid", "f_last_modified_date")
         .orderBy(F.desc("f_last_modified_date"), "sha256", "f_name").limit(rows)
     )

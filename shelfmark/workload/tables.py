@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -264,14 +265,16 @@ class Catalogue:
                     files.create_dir(folder, recursive=True)
                     with files.open_output_stream(f"{folder}/{doc_id}.txt", compression=None) as file:
                         file.write((text or "").encode())
-                yield batch.select(["doc_id", "f_size"])
+                device = pa.array(["texts"] * batch.num_rows)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), device], names=["doc_id", "f_size", "device_uid"])
 
         rows = self.source("documents").select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("f_size"))
-        rows.mapInArrow(write, "doc_id bigint, f_size bigint").write.parquet(f"{root}/written")
-        written = self.spark.read.schema("doc_id bigint, f_size bigint").parquet(f"{root}/written")
+        columns = "doc_id bigint, f_size bigint, device_uid string"
+        rows.mapInArrow(write, columns).write.parquet(f"{root}/written")
+        written = self.spark.read.schema(columns).parquet(f"{root}/written")
         key = F.col("doc_id").cast("string")
         return written.select(
-            "doc_id", key.alias("id"), F.lit("texts").alias("device_uid"), F.concat((F.col("doc_id") % 50).cast("string"), F.lit("/")).alias("f_parent"),
+            "doc_id", key.alias("id"), "device_uid", F.concat((F.col("doc_id") % 50).cast("string"), F.lit("/")).alias("f_parent"),
             F.concat(key, F.lit(".txt")).alias("f_name"), "f_size",
         )
 
