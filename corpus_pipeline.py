@@ -7,84 +7,16 @@ stage's ``docs``.  All but the last return the columns of their input.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from shelfmark.llm import contamination, mixing, near_duplicates, personal_data, quality
-from shelfmark.llm.common import stored, table
-
-
-def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that the classifier rejects; without a label to learn from, none is dropped.
-
-    It learns from labelled documents that are not held out.  An empty or null text is scored like any other.
-    """
-    statistics = quality.text_statistics(F.col("text"))
-    measured = stored(docs.select("doc_id", statistics.alias("statistics")), "statistics")
-    model = quality.fit_quality(measured, table(spark, sf_dir, "labels"), ~quality.held_out_of(F.col("doc_id")))
-    if model.weights is None:
-        return docs
-    scored = docs.withColumn("_score", quality.quality_score(statistics, model))
-    return scored.filter(F.col("_score") >= quality.LEAST).select(*docs.columns)
-
-
-def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near-duplicates (five words, 80 percent).
-
-    Of rows that repeat an id one is kept.  Documents without an id are in no group and stay.
-    """
-    found = near_duplicates.near_duplicates(docs, percent=80).filter("doc_id IS NOT NULL")
-    kept = found.filter("kept").select("doc_id").distinct()
-    once = docs.filter(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
-
-
-def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that contain ten consecutive words of a benchmark item, or a whole shorter item."""
-    hits = contamination.benchmark_hits(docs, table(spark, sf_dir, "benchmark"), slack=0).filter("n_hit > 0")
-    dirty = hits.select(F.col("doc_id").alias("_id"), F.lower(F.hex("digest")).alias("_digest")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.md5(F.coalesce("text", F.lit(""))) == F.col("_digest"))
-    return docs.join(dirty, same, "left_anti").select(*docs.columns)
-
-
-def no_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace each personal span by its kind in brackets; ``n_chars``, where there, follows the text."""
-    clean = docs.withColumn("_spans", personal_data.personal_spans(F.col("text")))
-    clean = clean.withColumn("text", personal_data.redacted(F.col("text"), F.col("_spans")))
-    if "n_chars" in docs.columns:
-        changed = F.when(F.size("_spans") > 0, F.char_length("text").cast("bigint")).otherwise(F.col("n_chars"))
-        clean = clean.withColumn("n_chars", changed)
-    return clean.select(*docs.columns)
-
-
-def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents the mix takes, with size, source_size, target and the words taken, repeats counted.
-
-    Documents of which it takes nothing go, among them empty ones.
-    """
-    documents, taken = mixing.mix(docs)
-    found = mixing.taken_per_document(documents, taken).filter("taken > 0")
-    chosen = found.select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "size", "source_size", "target", "taken"
-    )
-    own = docs.select(*docs.columns, mixing.words_in("text").alias("_size"))
-    # Rows alike in id, source and size are told apart by their number among those.
-    by = lambda *keys: F.row_number().over(mixing.Window.partitionBy(*keys).orderBy(F.lit(1)))
-    own = own.withColumn("_n", by("doc_id", "source", "_size"))
-    chosen = chosen.withColumn("_m", by("_id", "_source", "size"))
-    same = (
-        F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))
-        & (F.col("_size") == F.col("size")) & (F.col("_n") == F.col("_m"))
-    )
-    names = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
-    return own.select(*names, "_size", "_n").join(chosen, same).select(*names, "size", "source_size", "target", "taken")
 
+from shelfmark.llm import stages
+from shelfmark.llm.common import alone, table
 
 STAGES = [
-    ("quality classifier", good_quality),
-    ("near-duplicates", one_of_each_group),
-    ("benchmark decontamination", no_benchmark),
-    ("personal data", no_personal_data),
-    ("mix", mixed),
+    ("quality classifier", stages.good_quality),
+    ("near-duplicates", stages.one_of_each_group),
+    ("benchmark decontamination", stages.no_benchmark),
+    ("personal data", stages.no_personal_data),
+    ("mix", stages.mixed),
 ]
 
 # A trained classifier decides on the rows, which SQL cannot express.
@@ -92,8 +24,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents, each stored before the next one."""
+    """All stages over the documents, each stored before the next one; what a stage left on its way is removed."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = alone(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfmark.session import shared_dir
+from shelfmark.session import remove_dir, shared_dir
 
 # Letters A-Z to lower case and nothing else.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -20,16 +20,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_written: list[str] = []  # by ``stored``, in order
+
+
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """The rows written to the shared folder and read from there.
 
-    A result that several later steps read is computed once this way, and a lost executor does not take it along.
+    A result that several later steps read is computed once this way, and a lost executor does not take it along.  The
+    rows stay until the caller is through with what was made of them; see ``alone``.
     """
     path = shared_dir(df.sparkSession, purpose)
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def alone(spark: SparkSession, build: Callable[[], DataFrame], purpose: str) -> DataFrame:
+    """The result of ``build`` stored, and all that was stored on the way to it removed."""
+    before = len(_written)
+    made = stored(build(), purpose)
+    for path in _written[before:-1]:
+        remove_dir(spark, path)
+    del _written[before:-1]
+    return made
+
+
 def slices(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of a batch whose texts in ``column`` take up about ``limit`` bytes; one longer text is a part."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)

@@ -134,7 +134,8 @@ low AS (SELECT a AS doc_id, min(b) AS c FROM reach GROUP BY a)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, doc_id) AS component_id, coalesce(c, doc_id) = doc_id AS kept
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN low USING (doc_id)""")
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+    found = near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 # Base 32 of a hex digest: five hex digits are four letters.
