@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -79,28 +80,43 @@ def _open(folder: str) -> tuple[fs.FileSystem, str]:
 
 
 def _inflated(source) -> Iterator[bytes]:
-    """The plain bytes of a gzip file of any number of members, in pieces."""
-    engine = zlib.decompressobj(31)
+    """The plain bytes of a gzip file of any number of members, in pieces of bounded size; a cut-off member is an error."""
+    engine, ended = zlib.decompressobj(31), True
     while chunk := source.read(_CHUNK):
         while chunk:
-            yield engine.decompress(chunk)
-            chunk = engine.unused_data
-            if engine.eof and chunk:
-                engine = zlib.decompressobj(31)
-            else:
-                break
+            if ended:
+                engine, ended = zlib.decompressobj(31), False
+            yield engine.decompress(chunk, _CHUNK)
+            ended = engine.eof
+            chunk = engine.unused_data if ended else engine.unconsumed_tail
+        while not ended and (rest := engine.decompress(b"", _CHUNK)):
+            yield rest
+            ended = engine.eof
+    if not ended:
+        raise ValueError("the archive ends inside a gzip member")
+
+
+def _size_at(data: bytearray, start: int) -> int:
+    """Bytes of the record at ``start``, or one more than there are while its headers are not complete."""
+    head = data.find(b"\r\n\r\n", start)
+    if head < 0:
+        return len(data) - start + 1
+    length = re.search(rb"^Content-Length: *(\d+)\r?$", data[start : head + 2], re.MULTILINE)
+    return head + 4 - start + int(length.group(1)) + 4
 
 
 def records_of(source) -> Iterator[tuple[dict[str, str], bytes]]:
     """Records of a gzip stream, inflated once from front to back; one record at a time is held."""
-    kept = bytearray()
+    kept, need = bytearray(), 1
     for piece in _inflated(source):
         kept += piece
         start = 0
-        data = bytes(kept) if piece else b""
-        while data and (found := split_record(data, start)):
-            yield found[0], found[1]
-            start = found[2]
+        while len(kept) - start >= need:
+            need = _size_at(kept, start)
+            if len(kept) - start >= need:
+                headers, payload, _ = split_record(bytes(kept[start : start + need]))
+                yield headers, payload
+                start, need = start + need, 1
         del kept[:start]
     if kept:
         raise ValueError("the archive ends inside a record")
@@ -125,9 +141,10 @@ def write_monolithic(pages: DataFrame, folder: str) -> DataFrame:
                     "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{name}/{ord_}')}>",
                     "WARC-Target-URI": url or "", "WARC-Payload-Digest": f"sha1:{digest}", "X-Page": _page_uri(page_id),
                 }
-                out.write(engine.compress(make_record("response", headers, payload)))
+                record = make_record("response", headers, payload)
+                out.write(engine.compress(record))
                 rows.append((name, ord_, page_id, digest, len(payload)))
-                ord_, size = ord_ + 1, size + len(payload)
+                ord_, size = ord_ + 1, size + len(record)  # headers too, so empty payloads fill an archive as well
                 if size >= _FILE_BYTES:
                     out.write(engine.flush())
                     out.close()

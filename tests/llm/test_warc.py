@@ -46,3 +46,25 @@ def test_streams_of_any_number_of_members():
         assert [p for _, p in warc.records_of(io.BytesIO(data))] == [b"x" * i for i in range(50)]
     with pytest.raises(ValueError):
         list(warc.records_of(io.BytesIO(gzip.compress(b"".join(records)[:-3]))))
+
+
+def test_inflating_is_bounded_and_cut_streams_are_noticed():
+    record = warc.make_record("response", {"X-Page": "page:1"}, b"x" * (200 << 20))
+    small = warc.make_record("response", {"X-Page": "page:2"}, b"y")
+    data = gzip.compress(small + record + small, 1)
+    assert len(data) < 2 << 20
+    pieces = [len(piece) for piece in warc._inflated(io.BytesIO(data))]
+    assert max(pieces) <= warc._CHUNK and sum(pieces) == 2 * len(small) + len(record)
+    assert [len(p) for _, p in warc.records_of(io.BytesIO(data))] == [1, 200 << 20, 1]
+    whole = gzip.compress(small)
+    for cut in (whole[:-1], whole[:-8], whole + whole[:-5]):  # every record is there, the member's end is not
+        with pytest.raises(ValueError):
+            list(warc.records_of(io.BytesIO(cut)))
+
+
+def test_archives_of_empty_payloads_are_bounded(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(warc, "_FILE_BYTES", 10_000)
+    pages = spark.createDataFrame([(i, None, "u") for i in range(300)], "page_id bigint, html string, url string").coalesce(1)
+    manifest = warc.write_monolithic(pages, str(tmp_path / "w"))
+    sizes = [r["count"] for r in manifest.groupBy("file").count().collect()]
+    assert sum(sizes) == 300 and max(sizes) < 60
