@@ -123,6 +123,19 @@ def _plans(block, vocabulary: dict[bytes, int], totals: dict[int, int], width: i
     return plans
 
 
+def _in_order(values: np.ndarray, starts: np.ndarray, places: list[int], slack: list[int]) -> np.ndarray:
+    """Which starts have, for each of one term's places, an occurrence of its own at most its slack off, in order.
+
+    Each place takes the first occurrence that is left for it, which leaves most for the next ones.
+    """
+    found, at = np.ones(len(starts), bool), np.full(len(starts), -1)
+    for place, off in zip(places, slack):
+        at = np.maximum(at + 1, np.searchsorted(values, starts + (place - off)))
+        found &= at < len(values)
+        found &= values[np.minimum(at, len(values) - 1)] <= starts + (place + off)
+    return found
+
+
 def _near(values: np.ndarray, wanted: np.ndarray, slack: int) -> np.ndarray:
     """Which wanted places have a value at most ``slack`` away; values are sorted."""
     at = np.searchsorted(values, wanted - slack)
@@ -131,13 +144,23 @@ def _near(values: np.ndarray, wanted: np.ndarray, slack: int) -> np.ndarray:
 
 
 def _matches(postings: dict[int, np.ndarray], steps, slack: int) -> np.ndarray:
-    """Window starts at which each term stands at its place, or at most ``slack`` off it."""
-    rarest, place = steps[0]
-    starts = postings[rarest] - place
+    """Window starts at which each term stands at its place, or at most ``slack`` off it.
+
+    The rarest term's first place is where the window is hung up and has no slack.  A term that the window has several times
+    needs as many occurrences, in order.
+    """
+    rarest, hook = steps[0]
+    starts = postings[rarest] - hook
     for term, place in steps[1:]:
         if not len(starts):
-            break
+            return starts
         starts = starts[_near(postings[term], starts + place, slack)]
+    if slack and len(starts):
+        for term, count in Counter(term for term, _ in steps).items():
+            if count > 1:
+                own = sorted(place for other, place in steps if other == term)
+                off = [0 if term == rarest and place == hook else slack for place in own]
+                starts = starts[_in_order(postings[term], starts, own, off)]
     return starts
 
 
@@ -149,7 +172,13 @@ def _runs(hit: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def search_index(index: DataFrame, plans, slack: int) -> DataFrame:
-    """Per document of the index: words, runs of words inside exact occurrences, items with exact and near ones."""
+    """Per document of the index: words, runs of words inside exact occurrences, items with exact and near ones.
+
+    Windows are listed under their rarest term, so a shard looks only at those whose rarest term it has.
+    """
+    by_rarest: dict[int, list] = {}
+    for plan in plans:
+        by_rarest.setdefault(plan[0][0][0], []).append(plan)
 
     def search(batches):
         for batch in batches:
@@ -162,7 +191,7 @@ def search_index(index: DataFrame, plans, slack: int) -> DataFrame:
                 cover = np.zeros(size + 1, np.int64)
                 exact: list[set[str]] = [set() for _ in starts]
                 near: list[set[str]] = [set() for _ in starts]
-                for steps, width, items in plans:
+                for steps, width, items in (plan for term in postings for plan in by_rarest.get(term, ())):
                     if any(term not in postings for term, _ in steps):
                         continue
                     found = _matches(postings, steps, slack)
@@ -191,7 +220,7 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, width: int = WINDOW, slack
     A window is ``width`` consecutive words of an item; an item of fewer words, but not none, is one window.  ``n_hit``
     counts the words inside exact occurrences, ``items`` are the item ids with one, sorted as strings, and
     ``near_items`` those with a proximity match: every word at most ``slack`` places off its own, counted from the
-    rarest word.  Items that repeat an id count as one.  A null text has no words; other columns are not read.
+    rarest word, and a word that the window has several times as often and in order.  Items that repeat an id count as one.  A null text has no words; other columns are not read.
 
     A benchmark of more than half a million words is searched in blocks of whole items, with an index for each, and
     the runs of hit words are united per document.

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
 
@@ -92,3 +93,48 @@ def test_empty_tables(spark, docs, folder, n):
     benchmark = spark.createDataFrame([], "item_id bigint, text string")
     where = folder(documents=docs(*[(i, "some text") for i in range(n)]), benchmark=benchmark)
     assert [tuple(r)[1:4] for r in QUERIES["op1_benchmark_hits"](spark, where).collect()] == [(2, 0, 0)] * n
+
+
+def plain_near(docs, items, width=10, slack=2):
+    """Items with a proximity match, trying every increasing choice of occurrences for a repeated word."""
+    texts = [plain_words(t) for _, t in docs]
+    totals = {}
+    for words in texts:
+        for word in words:
+            totals[word] = totals.get(word, 0) + 1
+
+    def fits(found, start, own, hook):
+        spots = [
+            [q for q, w in enumerate(found) if w == word and abs(q - start - p) <= (0 if p == hook else slack)] for p, word in own
+        ]
+        return any(all(a < b for a, b in zip(c, c[1:])) for c in itertools.product(*spots))
+
+    out = []
+    for (doc_id, _), found in zip(docs, texts):
+        ids = set()
+        for item_id, item in items:
+            w = plain_words(item)
+            for at in range(max(1, len(w) - width + 1) if w else 0):
+                window = w[at : at + width]
+                if any(x not in totals for x in window):
+                    continue
+                hook = min(range(len(window)), key=lambda p: (totals[window[p]], p))
+                by_word = {x: [(p, x) for p, y in enumerate(window) if y == x] for x in window}
+                for q, x in enumerate(found):
+                    if x == window[hook] and all(fits(found, q - hook, own, hook) for own in by_word.values()):
+                        ids.add("" if item_id is None else str(item_id))
+        out.append((doc_id, sorted(ids)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("slack", [1, 2])
+def test_proximity_equals_brute_force(spark, docs, slack):
+    rng = random.Random(slack)
+    vocabulary = ["no", "is", "there", "way", "a", "b"]
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.choice([2, 3, 4, 6])))) for i in range(12)] + [(50, "no no no"), (51, "is is")]
+    rows = [(i, " ".join(rng.choices([*vocabulary, "x", "y"], k=25))) for i in range(40)]
+    rows += [(100, "there is no way"), (101, "no way no x no"), (102, "is"), (103, None)]
+    found = benchmark_hits(docs(*rows), spark.createDataFrame(items, "item_id bigint, text string"), width=5, slack=slack)
+    assert sorted(((r.doc_id, r.near_items) for r in found.collect()), key=str) == plain_near(rows, items, 5, slack)
+    single = {r.doc_id: r.near_items for r in found.collect()}
+    assert "50" not in single[100] and "51" not in single[100]
