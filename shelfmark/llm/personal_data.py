@@ -101,6 +101,23 @@ def _spans_of(kind: str, text: Column) -> Column:
     """Passing spans of one kind: (start, rank, end, kind, score)."""
     pattern = F.lit(_PATTERNS[kind])
 
+    # A match has at least two characters and one between it and the next, so so many of them fill the distance.
+    units = _AROUND // 3 + 1
+
+    def before(pieces: Column, matches: Column, at: Column) -> Column:
+        low = F.greatest(at - units, F.lit(0))
+        earlier = F.transform(F.sequence(low, at - 1), lambda i: F.concat(F.get(pieces, i), F.get(matches, i)))
+        text = F.when(at > 0, F.array_join(earlier, "")).otherwise("")
+        return F.right(F.concat(text, F.get(pieces, at)), F.lit(_AROUND))
+
+    def after(pieces: Column, matches: Column, at: Column) -> Column:
+        last = F.size(matches) - 1
+        later = F.transform(
+            F.sequence(at + 1, F.least(at + units, last)), lambda i: F.concat(F.get(matches, i), F.get(pieces, i + 1))
+        )
+        text = F.when(at < last, F.array_join(later, "")).otherwise("")
+        return F.left(F.concat(F.get(pieces, at + 1), text), F.lit(_AROUND))
+
     def spans(pieces: Column, matches: Column) -> Column:
         lengths = F.zip_with(
             matches, pieces, lambda m, p: F.coalesce(F.char_length(m), F.lit(0)).cast("bigint") + F.char_length(p)
@@ -109,7 +126,7 @@ def _spans_of(kind: str, text: Column) -> Column:
         def span(at: Column, starts: Column) -> Column:
             match, piece = F.get(matches, at), F.get(pieces, at)
             start = F.get(starts, at) + F.char_length(piece)
-            near = F.concat_ws("\n", F.right(piece, F.lit(_AROUND)), F.left(F.get(pieces, at + 1), F.lit(_AROUND)))
+            near = F.concat_ws("\n", before(pieces, matches, at), after(pieces, matches, at))
             score = (
                 F.lit(_SCORES[kind]) + F.when(near.rlike(_CONTEXT[kind]), 0.1).otherwise(0.0)
                 - F.when(near.rlike(_AGAINST), 0.3).otherwise(0.0)

@@ -74,3 +74,24 @@ def test_checked_account_numbers_scores_and_redaction(spark, docs):
     assert spans["email"] == ("a@b.co", 1.0) and spans["phone"][0] == "+49 30 1234567"
     assert row.r.startswith("é my bank IBAN [IBAN], not ") and row.r.endswith("; write [EMAIL] or ring [PHONE].")
     assert docs((1, None)).select(redacted(F.col("text"), personal_spans(F.col("text"))).alias("r")).first().r is None
+
+
+def test_context_words_within_forty_characters(spark, docs):
+    card = "4111 1111 1111 1111"
+    texts = {
+        1: f"card no: {card}", 2: f"card no 17: {card}", 3: f"card {'1 2 ' * 8}: {card}", 4: f"{card} and 12 3 4 on the card",
+        5: f"card {'x' * 36} {card}", 6: f"{card} {'x' * 36} card", 7: f"card {'x' * 34} {card}", 8: f"card 1; 2; {card}; {card}",
+        9: card, 10: "card " + " ".join(str(n % 10) for n in range(25)) + f": {card}",
+    }
+    rows = spark.createDataFrame(sorted(texts.items()), "doc_id int, text string")
+    from pyspark.sql import functions as F
+
+    from shelfmark.llm import personal_data
+
+    found = rows.select("doc_id", "text", personal_data.personal_spans(F.col("text")).alias("s")).collect()
+    plain = next(s.score for r in found if r.doc_id == 9 for s in r.s)
+    for row in found:
+        for span in (s for s in row.s if s.kind == "card"):
+            near = row.text[max(0, span.start - 40) : span.start] + "\n" + row.text[span.end : span.end + 40]
+            assert span.score == round(plain + (0.1 if "card" in near else 0.0), 2), (row.text, span)
+    assert {r.doc_id for r in found if any(s.score > plain for s in r.s if s.kind == "card")} >= {1, 2, 3, 4, 7, 8}
