@@ -111,8 +111,8 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op4_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = stored(fingerprints.edited_fingerprints(table(spark, sf_dir, "documents")), "fingerprints")
-    return fingerprints.with_near_id(found)
+    """Fingerprints of the texts and their edited texts, and the group of texts with alike fingerprints."""
+    return fingerprints.with_near_id(fingerprints.edited_fingerprints(table(spark, sf_dir, "documents")))
 
 
 _SPACED_SQL = rf"regexp_extract_all({_ASCII_LOWER}, '[^\x20\x09-\x0D]+')"
