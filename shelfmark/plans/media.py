@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions.ordering import ascending, descending
+from shelfmark.functions.packing import full, packed_hash, slim
 from shelfmark.functions.paths import thumbnail_key, thumbnail_path
 from shelfmark.functions.text import timestamp_text
 from shelfmark.operators.metadata import PHOTO
@@ -29,10 +30,11 @@ def files_of_exif_device(
     cards: DataFrame, devices: DataFrame, exif: DataFrame, make: str, model: str
 ) -> DataFrame:
     """Files of a camera, newest first; folder and label stand in arrays of one element."""
-    taken = exif.filter((F.col("make") == make) & (F.col("model") == model)).select("id")
+    taken = exif.filter((F.col("make") == make) & (F.col("model") == model)).select(packed_hash(F.col("id")).alias("id"))
     labels = devices.select(F.col("uid").alias("device_uid"), "label_v")
+    shown = cards.select("id", "device_uid", "sha256", "f_name", "f_parent", "f_last_modified_date")
     files = (
-        cards.join(taken, "id", "left_semi").join(labels, "device_uid")
+        full(slim(shown).join(taken, "id", "left_semi"), shown).join(labels, "device_uid")
         .select("sha256", "f_name", "f_parent", "label_v", "f_last_modified_date").distinct()
     )
     return files.select(
