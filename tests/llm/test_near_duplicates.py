@@ -8,7 +8,7 @@ import pytest
 from corpus_fixtures import docs, folder  # noqa: F401
 
 from shelfmark.llm import near_duplicates as nd
-from shelfmark.llm.components import connected
+from shelfmark.llm.components import connected, lowered
 from shelfmark.llm.queries import QUERIES
 
 
@@ -120,3 +120,35 @@ def test_connected(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 150)] + [(7, 7)]
     found = {r.nid: r.root for r in connected(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
     assert found == {i: 1 for i in range(1, 41)} | {i: 100 for i in range(100, 150)}
+
+
+def _by_root(found):
+    groups = {}
+    for row in found.collect():
+        groups.setdefault(row.root, set()).add(row.nid)
+    return groups
+
+
+def test_lowered_links_connect_the_same(spark):
+    rng = random.Random(8)
+    nodes = [(group * 1000 + rng.randrange(40), group * 1000 + rng.randrange(40)) for group in range(30) for _ in range(90)]
+    links = spark.createDataFrame([*nodes, (-5, 3), (70_000, 70_000)], "a bigint, b bigint")
+    low = lowered(links).collect()
+    assert all(a < b for a, b in low) and len(set(low)) == len(low)
+    assert _by_root(connected(lowered(links))) == _by_root(connected(links))
+    assert lowered(links.limit(0)).count() == 0
+
+
+def test_bands_of_near_copies_join_few_links(spark, docs, monkeypatch):
+    rng, seen = random.Random(10), []
+    base = [f"w{at}" for at in range(400)]
+    rows = []
+    for i in range(160):
+        words = list(base)
+        for at in rng.sample(range(400), 3):
+            words[at] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    monkeypatch.setattr(nd, "connected", lambda links: seen.append(links.count()) or connected(links))
+    found = nd.near_duplicates(docs(*rows), 85).select(COLUMNS)
+    assert sorted(map(tuple, found.collect()), key=str) == plain(rows, 85)
+    assert seen and seen[0] < 2 * len(rows)
