@@ -27,11 +27,12 @@ def no_broadcast(spark):
 @pytest.fixture
 def odd(make):
     """Cards whose values follow from others, do not, and are missing."""
-    return make.cards(
-        {}, {"f_name": "x.JPG", "f_extension": "jpg"}, {"f_name": "y", "f_mime_type_java": None}, {"id": "7"}, {"id": None},
-        {"id": ""}, {"id": sha("q"), "sha256": sha("c")}, {"f_name_lc": None}, {"f_name_lc": ""}, {"sha256": "c"},
+    cards = make.cards(
+        {}, {"f_name": "x.JPG", "f_extension": "jpg"}, {"f_name": "y", "f_mime_type_java": None}, {"id": "7"}, {"id": "none"},
+        {"id": ""}, {"id": sha("q"), "sha256": sha("c")}, {"f_name_lc": "none"}, {"f_name_lc": ""}, {"sha256": "c"},
         {"f_extension": ""}, {"f_extension": None},
     )
+    return cards.withColumns({name: F.when(F.col(name) != "none", F.col(name)) for name in ("id", "f_name_lc")})
 
 
 def test_lean_rows_come_back_as_they_were(odd):
@@ -82,7 +83,8 @@ def test_a_move_joins_without_shuffling_ids(make, no_broadcast):
 
 
 def test_groups_of_contents_are_shuffled_once(make):
-    cards = make.cards({"sha256": "A"}, {"sha256": "A", "f_parent": None, "id": "2"}, {"sha256": "B", "f_name_lc": None})
+    cards = make.cards({"sha256": "A"}, {"sha256": "A", "f_parent": "none"}, {"sha256": "B", "f_name_lc": "none"})
+    cards = cards.withColumns({name: F.when(F.col(name) != "none", F.col(name)) for name in ("f_parent", "f_name_lc")})
     found = copies.duplicate_content_overview(cards)
     assert plan_of(found).count("Exchange hashpartitioning") == 1
     assert rows(found) == [("f.jpg", "A", 0, 2, "d1", "a/")]
